@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import ngramjoin, tokencount
+from spanloom.llm import langid, mixing, ngramjoin, packing, pii, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -12,14 +12,45 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents of a trigram similarity of 0.5 or more."""
     return ngramjoin.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from a bounded sample of the table's own labels."""
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_on(docs))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its private spans redacted."""
+    return pii.redact_pii(_read(spark, sf_dir, "documents"), pii.fit())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict for every document, learned from a bounded sample of labels."""
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in windows of 2048 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in training order, from the sources' own shares to flatter ones."""
+    from pyspark.sql import functions as F
+
+    return mixing.mix_sources(_read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op8_toxicity, op9_packing, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
@@ -31,5 +62,21 @@ e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS o
       FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, o / (na + nb - o)::DOUBLE AS jaccard FROM o WHERE o >= 0.5 * (na + nb - o)
+""",
+    "op10_mixing": """
+WITH d AS (SELECT *, coalesce(source, '') AS s, md5(coalesce(doc_id::VARCHAR, '')) AS o,
+             coalesce(CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0) AS n FROM documents),
+t AS (SELECT s, CAST(sum(n) AS BIGINT) AS supply FROM d GROUP BY s),
+a AS (SELECT CAST(sum(supply) AS DOUBLE) AS total, sum(sqrt(supply / (SELECT sum(supply)::DOUBLE FROM t))) AS z FROM t),
+-- weights run straight from u, the source's own share, to v
+w AS (SELECT s, supply, total, supply / total AS u, sqrt(supply / total) / z AS v FROM t, a WHERE supply > 0),
+c AS (SELECT d.*, w.supply, w.total, w.u, w.v, (w.u + w.v) / 2 * w.total AS demand,
+        coalesce(sum(n) OVER (PARTITION BY d.s ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM d JOIN w ON d.s = w.s),
+k AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil((demand - c) / supply) AS BIGINT)))) AS epoch FROM c WHERE c < demand),
+x AS (SELECT *, (c + epoch * supply) / total AS q FROM k WHERE c + epoch * supply < demand)
+SELECT doc_id, text, lang, source, n_chars,
+  round(least(coalesce(2 * q / nullif(u + sqrt(greatest(u * u + 2 * (v - u) * q, 0)), 0), 0), 1), 9) AS position, epoch
+FROM x
 """,
 }
