@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import langid, mixing, ngramjoin, packing, pii, tokencount, toxicity
+from spanloom.llm import audio, chatformat, gridjoin, langid, mixing, ngramjoin, packing, pii, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,27 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_pii(_read(spark, sf_dir, "documents"), pii.fit())
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes read as a telephone recording, the codec by its id: no table has audio of its own."""
+    from pyspark.sql import functions as F
+
+    codec = F.element_at(F.array(*map(F.lit, audio.CODECS)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"), codec.alias("codec"))
+    return audio.decode_telephony(rows, id_col="doc_id")
+
+
+def op6_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of embeddings within 0.25."""
+    from pyspark.sql import functions as F
+
+    return gridjoin.embedding_near_pairs(_read(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered and read back."""
+    return chatformat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict for every document, learned from a bounded sample of labels."""
     docs = _read(spark, sf_dir, "documents")
@@ -50,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op8_toxicity, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op5_telephony_audio, op6_embedding_near_pairs, op7_chat_format, op8_toxicity, op9_packing, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
@@ -62,6 +83,16 @@ e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS o
       FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, o / (na + nb - o)::DOUBLE AS jaccard FROM o WHERE o >= 0.5 * (na + nb - o)
+""",
+    "op6_embedding_near_pairs": """
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 0.25
+""",
+    "op7_chat_format": r"""
+SELECT conv_id, count(*) AS n_turns, sum(CASE WHEN regexp_matches(text, '<\\*\|') THEN 1 ELSE 0 END)::BIGINT AS n_escaped,
+  string_agg('<|' || role || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
+FROM conversations GROUP BY conv_id
 """,
     "op10_mixing": """
 WITH d AS (SELECT *, coalesce(source, '') AS s, md5(coalesce(doc_id::VARCHAR, '')) AS o,
