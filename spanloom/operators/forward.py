@@ -177,6 +177,8 @@ def experts(x: np.ndarray, w: Callable[[str], np.ndarray], used: int, taps: dict
 def forward(c: Config, weights: dict[str, np.ndarray], ids: np.ndarray, taps: dict[str, np.ndarray] | None = None, banded: bool | None = None, moe_chunk: int = MOE_CHUNK, without: str = "") -> np.ndarray:
     """(tokens, classes) logits; ``taps`` gathers what each step makes, ``without`` leaves out 'noattn' or 'nomoe'."""
     n = len(ids)
+    if n == 0:
+        return np.zeros((0, c.classes), np.float32)
     frequencies, scale = yarn(c)
     banded = n >= BANDED_FROM if banded is None else banded
     see = lambda name, x: taps.__setitem__(name, x) if taps is not None else None
@@ -188,11 +190,11 @@ def forward(c: Config, weights: dict[str, np.ndarray], ids: np.ndarray, taps: di
         h = norm(x, w("attn_norm.weight"))
         see(f"l{i}.attn_norm", h)
         if "noattn" not in without:
-            q, k, v = ((h @ w(f"attn_{z}.weight").T + w(f"attn_{z}.bias")).reshape(n, -1, c.head_dim) for z in "qkv")
+            q, k, v = ((h @ w(f"attn_{z}.weight").T + w(f"attn_{z}.bias")).reshape(n, m, c.head_dim) for z, m in (("q", c.heads), ("k", c.kv_heads), ("v", c.kv_heads)))
             q, k = rope(q, frequencies, scale), rope(k, frequencies, scale)
             see(f"l{i}.q_rope", q)
             see(f"l{i}.k_rope", k)
-            a = (attention_banded if banded else attention_full)(q, k, v, w("attn_sinks.weight"), c.radius).reshape(n, -1)
+            a = (attention_banded if banded else attention_full)(q, k, v, w("attn_sinks.weight"), c.radius).reshape(n, c.heads * c.head_dim)
             h = a @ w("attn_output.weight").T + w("attn_output.bias")
             see(f"l{i}.attn_out", h)
         x = x + h
