@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.labels import LabelTable, label_table
+from spanloom.functions.offsets import to_chars
 from spanloom.operators import bpe, decode, post, redact
 from spanloom.operators.forward import Config, emissions
 from spanloom.operators.rules import RULES, rule_spans
@@ -93,6 +94,17 @@ class Engine:
         at = post.clean(text_col, post.from_tokens(spans, "tokens", text_col))
         return both.withColumn("entities", F.when(F.col(text_col).isNotNull(), at.cast(ENTITIES))).select(*docs.columns, "entities")
 
+    def classify_lenient(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``docs`` with spans (start, end, label) in code points: each token's best class, the forgiving reading, targets, merging.
+
+        No threshold applies.  A null text gives null.
+        """
+        best = decode.best_labels(self.logits(docs, id_col, text_col), self.table, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("tok_pos", "label"))).alias("_t"))
+        both = self.tokenize(docs, text_col).join(best, id_col, "left")
+        laid = both.withColumns({"labels": F.transform("_t", lambda t: t["label"]), "starts": F.transform("tokens", lambda t: t["start"]), "ends": F.transform("tokens", lambda t: t["end"])})
+        found = decode.decode_lenient(laid).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,label:string>>")))
+        return found.withColumn("spans", F.when(F.col(text_col).isNotNull(), post.clean_lenient(text_col, to_chars(text_col, "spans")))).select(*docs.columns, "spans")
+
     def redact(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: bool = False, replacement: str = "***", threshold: float | None = None) -> DataFrame:
         """``docs`` with entities and redacted: the text with each entity replaced, by its tag where ``labels``."""
         found = self.classify(docs, id_col, text_col, threshold)

@@ -83,6 +83,30 @@ def test_windowed_is_whole(spark):
     assert engine().redact(docs).filter("doc_id = 4 AND redacted IS NULL AND entities IS NULL").count() == 1
 
 
+def test_lenient_mode(spark):
+    docs = spark.createDataFrame([(1, "Ana né Bo, 12"), (2, ""), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in engine().classify_lenient(docs).collect()}
+    assert got[3] is None and got[2] == []
+    text = docs.first().text
+    best = forward.forward(C, W, np.frombuffer(text.encode(), np.uint8)).argmax(axis=1)
+    from spanloom.operators.decode import lenient_spans
+
+    at = [i for i, c in enumerate(text) for _ in c.encode()]
+    raw = lenient_spans([LABELS[k] for k in best], at, [i + 1 for i in at])
+    assert bool(got[1]) == bool(raw) and all(0 <= s.start < s.end <= len(text) and s.label in ("private_person", "secret") for s in got[1])
+
+
+def test_command_line(spark, capsys, tmp_path):
+    import io
+
+    from spanloom.__main__ import main
+
+    assert main(["redact", "--labels"], io.StringIO("to a.b@mail1.example.com\n")) == 0 and capsys.readouterr().out == "to [EMAIL]\n"
+    assert main(["classify"], io.StringIO('"a@b.example"')) == 0 and json.loads(capsys.readouterr().out)[0]["start"] == 1
+    assert main([]) == 2 and main(["redact", "--nope"]) == 2 and main(["info"]) == 0
+    assert main(["redact", str(tmp_path / "none.gguf")]) == 1
+
+
 def test_gguf_round_trip(tmp_path, spark):
     path = str(tmp_path / "m.gguf")
     tokens = [chr(b) if 33 <= b < 127 else f"?{b}" for b in range(256)]
