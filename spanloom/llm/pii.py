@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -319,30 +320,33 @@ def fit(count: int = EXAMPLES, seed: int = SEED) -> Model:
     return Model(trees, limits)
 
 
-def _redact(model: Model, column: pa.Array) -> tuple[pa.Array, np.ndarray, list]:
-    raw, offsets, valid = B.text_buffers(column)
-    hot = np.concatenate([[0], np.cumsum(_ANCHOR_BYTE[raw])])
-    some = np.flatnonzero(hot[offsets[1:]] > hot[offsets[:-1]])
-    count = np.zeros(len(column), np.int64)
-    new: dict[int, str] = {}
-    spans: dict[int, list] = {}
+def _redact(model: Model, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(redacted texts, redactions in each) of a run of documents."""
+    raw, offsets, _ = B.text_buffers(column)
+    anchors = np.flatnonzero(_ANCHOR_BYTE[raw])
+    some = np.unique(np.searchsorted(offsets, anchors, side="right") - 1)
+    count, new = np.zeros(len(column), np.int64), {}
     for a in range(0, len(some), 256):
-        part = some[a : a + 256]
-        texts = [bytes(raw[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in part.tolist()]
-        for i, text, found in zip(part.tolist(), texts, model.redactions(texts)):
+        part = some[a : a + 256].tolist()
+        texts = [bytes(raw[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in part]
+        for i, text, found in zip(part, texts, model.redactions(texts)):
             if found:
                 bits, last = [], 0
                 for s, e, kind in found:
                     bits += [text[last:s], f"[{kind}]"]
                     last = e
-                new[i], count[i], spans[i] = "".join(bits) + text[last:], len(found), found
+                new[i], count[i] = "".join(bits) + text[last:], len(found)
     if new:
         mask = np.zeros(len(column), bool)
         mask[list(new)] = True
-        import pyarrow.compute as pc
-
         column = pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in sorted(new)], column.type))
-    return column, count, [spans.get(i, []) for i in range(len(column))]
+    return column, count
+
+
+def _runs(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of documents of bounded text: what is worked out for one doesn't grow with the batch."""
+    for i, j in B.doc_chunks(B.text_buffers(batch.column(at))[1]):
+        yield batch.slice(i, j - i)
 
 
 def redact_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,8 +361,9 @@ def redact_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, count, _ = _redact(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(count)], [id_col, text_col, "n_redacted"])
+            for part in _runs(batch, 1):
+                text, count = _redact(shared.value, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(count)], [id_col, text_col, "n_redacted"])
 
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     return wanted.mapInArrow(run, f"`{id_col}` {wanted.schema[0].dataType.simpleString()}, `{text_col}` string, n_redacted long")
@@ -371,8 +376,9 @@ def redact_column(docs: DataFrame, model: Model, text_col: str = "text", length_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, _, _ = _redact(shared.value, batch.column(at))
-            yield batch.set_column(at, batch.schema.field(at), text)
+            for part in _runs(batch, at):
+                text, _ = _redact(shared.value, part.column(at))
+                yield part.set_column(at, part.schema.field(at), text)
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col and length_col in docs.columns:
