@@ -125,7 +125,9 @@ def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: s
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     empty = f"vec_a {kind}, vec_b {kind}, distance double"
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    # single precision stays so until it is worked with: vectors are most of what is shuffled
+    inner = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{inner}>").alias("v")).filter("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
     n, dim = v.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], empty)
@@ -135,16 +137,19 @@ def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: s
     turn = turn[:, :box]
     cells = min(CELL_DIMS, dim)
 
+    def turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = (x - mean) @ turn
+        return r, np.floor(r[:, :cells] / epsilon).clip(-(2**62), 2**62).astype(np.int64)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r = (_matrix(batch.column(1)) - mean) @ turn
+                r, c = turned(_matrix(batch.column(1)).astype(np.float64))
                 lists = pa.ListArray.from_arrays(np.arange(0, r.size + 1, box, dtype=np.int32), r.ravel())
-                c = np.floor(r[:, :cells] / epsilon).clip(-(2**62), 2**62).astype(np.int64)
                 cell = pa.ListArray.from_arrays(np.arange(0, c.size + 1, cells, dtype=np.int32), c.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, cell], ["id", "v", "r", "c"])
 
-    placed = v.mapInArrow(place, f"id {kind}, v array<double>, r array<double>, c array<long>")
+    placed = v.mapInArrow(place, f"id {kind}, v array<{inner}>, r array<double>, c array<long>")
     ranges = max(1, -(-n // range_rows))
     order = [F.col("c")[k] for k in range(cells)]
     laid = materialise(placed.repartitionByRange(ranges, *order, "id").withColumn("part", F.spark_partition_id()), "laid")
@@ -159,7 +164,8 @@ def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: s
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in B.groups(batches, "task"):
             ids, part = t.column("id").to_numpy(), t.column("part").to_numpy()
-            x, r, c = _matrix(t.column("v")), _matrix(t.column("r")), _matrix(t.column("c"))
+            x = _matrix(t.column("v")).astype(np.float64)
+            r, c = turned(x)
             order = np.lexsort((np.arange(len(ids)), *c.T[::-1]))
             sides = [order[part[order] == p] for p in np.unique(part)]
             s, e = sides[0], sides[-1]
@@ -168,4 +174,4 @@ def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: s
                 ok = p != q
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[ok]), pa.array(np.maximum(p, q)[ok]), pa.array(dist[ok])], ["vec_a", "vec_b", "distance"])
 
-    return tasks.join(laid, "part").select("task", "part", "id", "v", "r", "c").repartition("task").sortWithinPartitions("task").mapInArrow(join, empty)
+    return tasks.join(laid, "part").select("task", "part", "id", "v").repartition("task").sortWithinPartitions("task").mapInArrow(join, empty)
