@@ -27,8 +27,17 @@ OTHER_RULES = tuple((k, p) for k, p in RULES if k not in ("private_phone", "priv
 )
 
 
+#: Tables of texts, over which queries compute more than they read.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of texts that lies in fewer row groups than there are cores is dealt out to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in TEXTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _long(*names: str) -> list[Column]:
