@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.store import materialise
+from spanloom.llm.store import by_size, materialise
 
 #: A source's share of tokens is raised to these powers at the start and the
 #: end of training, then made to sum to 1: from the corpus as it is to a flatter mix.
@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, schedules: dict[str, list[tuple[float, float]]]
             rows.append((k, n, (d + (b - a) * (w + w + m * (b - a)) / 2) * total, [(a, d * total, w * total, m * total) for a, b, d, w, m in parts]))
     stretches = docs.sparkSession.createDataFrame(rows, "_s string, _supply long, _demand double, _parts array<struct<a: double, d: double, w: double, m: double>>")
     # at most sources x 16^BUCKET_DIGITS rows: a rank within a source is its buckets' tokens before, then a rank in the bucket
-    before = buckets.withColumn("_before", F.sum("_t").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_t")).join(F.broadcast(stretches), "_s").select("_s", "_b", "_before", "_supply", "_demand", "_parts")
+    before = buckets.withColumn("_before", F.sum("_t").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_t")).join(by_size(stretches, len(rows)), "_s").select("_s", "_b", "_before", "_supply", "_demand", "_parts")
     keyed = base.select(F.struct(*names).alias("_row"), source.alias("_s"), bucket.alias("_b"), order.alias("_o"), tokens_of(text_col).alias("_n"))
     w = Window.partitionBy("_s", "_b").orderBy("_o", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, -1)
     # the join and the rank share one shuffle by source and bucket

@@ -256,11 +256,14 @@ def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .dropDuplicates(["cell"])
     )
     last = f"CAST((size(cell) - 1) DIV {block} AS INT)"
+    # what a block's sets are least and most in size is all that its members need to know of their cell
+    ends = f"transform(sequence(0, {last}), k -> named_struct('least', element_at(cell, k * {block} + 1).n, 'most', element_at(cell, least((k + 1) * {block}, size(cell))).n))"
     rows = (
-        cells.select(F.xxhash64("cell").alias("id"), "cell", F.posexplode("cell").alias("p", "m"))
-        .selectExpr("id", "cell", "m.cls AS cls", f"CAST(p DIV {block} AS INT) AS block", f"explode(sequence(0, {last})) AS other")
-        .selectExpr("id", "cls", "block", "least(block, other) AS i", "greatest(block, other) AS j", "cell")
-        .filter(f"i = j OR element_at(cell, (i + 1) * {block}).n >= {threshold} * element_at(cell, j * {block} + 1).n - 1e-9")
+        cells.select(F.xxhash64("cell").alias("id"), F.expr(ends).alias("ends"), F.posexplode("cell").alias("p", "m"))
+        .selectExpr("id", "ends", "m.cls AS cls", f"CAST(p DIV {block} AS INT) AS block")
+        .selectExpr("id", "ends", "cls", "block", "explode(sequence(0, size(ends) - 1)) AS other")
+        .selectExpr("id", "ends", "cls", "block", "least(block, other) AS i", "greatest(block, other) AS j")
+        .filter(f"i = j OR ends[i].most >= {threshold} * ends[j].least - 1e-9")
         .selectExpr("xxhash64(id, i, j) AS task", "cls", "block")
     )
     rows = materialise(rows, "cells")
