@@ -13,6 +13,10 @@ from spanloom.functions.labels import resolve_category
 from spanloom.functions.offsets import _col
 
 IGNORED = -100
+#: Words in a row that make a passage; a text of fewer words is one passage.
+PASSAGE_WORDS = 13
+#: Scripts without spaces: each character is a word.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 
 
 def classes_of(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, str]], ids: dict[str, int]) -> np.ndarray:
@@ -87,6 +91,45 @@ def leaked(rows: DataFrame, held_out: DataFrame, text_col: str = "text") -> Data
     return rows.withColumn("_h", F.sha2(F.col(text_col), 256)).join(keys, "_h", "left_semi").select(*rows.columns)
 
 
+def words(text) -> Column:
+    """Lower-case runs of letters, marks, digits and underscores; in a script without spaces each character."""
+    alone = "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])"
+    return F.regexp_extract_all(F.regexp_replace(F.lower(_col(text)), alone, " $1 "), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+
+
+def _runs(w: Column, k: Column, each) -> Column:
+    """``each`` of every run of k words, without repetitions; none of fewer words."""
+    places = F.when((F.size(w) >= k) & (k > 0), F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: each(F.slice(w, i, k))))
+
+
+def passages(rows: DataFrame, held_out: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, item, whole) of each text that holds a passage of a held-out item: ``run`` of its words in a row, or all of a shorter one.
+
+    ``whole`` tells whether the text holds the item's text as it stands.  Case
+    and what parts words don't count, otherwise.  Hashes of runs are joined,
+    and what they find is verified in the texts.  Nulls of ids or texts, and
+    items without words, are in no pair.
+    """
+    items = held_out.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), F.col(text_col).alias("_passage"), words(text_col).alias("_v"))
+    items = items.withColumn("_k", F.least(F.size("_v"), F.lit(run))).filter("_k > 0")
+    lengths = sorted(r[0] for r in items.select("_k").distinct().collect())
+    keys = items.select("_item", "_k", F.explode(_runs(F.col("_v"), F.col("_k"), F.xxhash64)).alias("_h"))
+    texts = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    split = texts.select("_id", words("_text").alias("_w"))
+    runs = split.select("_id", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_k"), "_w") if len(lengths) != 1 else split.withColumn("_k", F.lit(lengths[0]))
+    hashes = runs.select("_id", "_k", F.explode(_runs(F.col("_w"), F.col("_k"), F.xxhash64)).alias("_h"))
+    near = hashes.join(keys, ["_k", "_h"]).select("_id", "_item").distinct()
+    met = near.join(items, "_item").join(texts, "_id").withColumn("_all", F.concat(F.lit(" "), F.array_join(words("_text"), " "), F.lit(" ")))
+    held = F.exists(_runs(F.col("_v"), F.col("_k"), lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))), lambda x: F.contains(F.col("_all"), x))
+    return met.filter(held).select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.contains("_text", "_passage").alias("whole")).distinct()
+
+
+def without_passages(rows: DataFrame, held_out: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = PASSAGE_WORDS) -> DataFrame:
+    """``rows`` whose text holds no passage of ``held_out``."""
+    return rows.join(passages(rows, held_out, id_col, item_col, text_col, run).select(id_col).distinct(), id_col, "left_anti").select(*rows.columns)
+
+
 def with_split(rows: DataFrame, share: float, seed: int = 0, id_col: str = "row_no", out_col: str = "is_validation") -> DataFrame:
     """``rows`` with a flag on a share of them by a seeded hash of their id.
 

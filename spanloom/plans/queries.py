@@ -248,6 +248,16 @@ def without_benchmark(spark, sf_dir):
     return datasets.without(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
 
 
+def benchmark_passages(spark, sf_dir):
+    """Documents that hold a passage of a benchmark item, the item, and whether they hold all of it."""
+    return datasets.passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def without_benchmark_passages(spark, sf_dir):
+    """Documents that hold no passage of the benchmark."""
+    return datasets.without_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
+
+
 def repeated_texts(spark, sf_dir):
     """Texts that more than one document has."""
     return datasets.repeated_texts(_read(spark, sf_dir, "documents"))
@@ -330,7 +340,7 @@ def classify_by_model(spark, sf_dir):
 _ALL = (
     classify_documents, redact_fixed, redact_labels, mask_documents, entity_counts, top_categories, byte_char_offsets, trim_spans, person_split, merge_near_spans, remap_labels,
     spans_from_bioes, threshold_filter, argmax_label, log_softmax_rows, viterbi_paths, lenient_decode, halo_windows, window_coverage, pretokenize, pretoken_spans, pretoken_counts,
-    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, repeated_texts, validation_split, wrapped_lines,
+    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, validation_split, wrapped_lines,
     found_so_far, latest_findings, entities_json, redact_pages, redact_conversations, stream_redact, tokenize_bpe, classify_by_model,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -422,6 +432,14 @@ h AS (SELECT w.conv_id, w.turn, w.pos, sp.k, sp.label, min(w.pos) OVER q AS firs
       FROM w JOIN sp ON w.conv_id = sp.conv_id AND w.turn = sp.turn AND w.s < sp.b AND sp.a < w.e WINDOW q AS (PARTITION BY w.conv_id, w.turn, sp.k)),
 l AS (SELECT conv_id, turn, pos, arg_max(CASE WHEN label = 'account_number' THEN 4 ELSE 0 END + CASE WHEN first = last THEN 4 WHEN pos = last THEN 3 WHEN pos = first THEN 1 ELSE 2 END, k) AS c FROM h GROUP BY ALL)
 SELECT w.conv_id, w.turn, w.pos, coalesce(l.c, 0)::BIGINT AS "class" FROM w LEFT JOIN l ON w.conv_id = l.conv_id AND w.turn = l.turn AND w.pos = l.pos"""
+_PASSAGE_WORDS = "regexp_extract_all(regexp_replace(lower(text), '([" + "".join(rf"\p{{{x}}}" for x in datasets.UNSPACED) + r"])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}_]+')"
+_PASSAGE_RUNS = "unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))"
+_PASSAGES_SQL = f"""
+WITH b AS (SELECT *, least(len(w), {datasets.PASSAGE_WORDS}) AS k FROM (SELECT item_id, text, {_PASSAGE_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+d AS (SELECT doc_id, text, {_PASSAGE_WORDS} AS w FROM documents),
+x AS (SELECT item_id, {_PASSAGE_RUNS} AS g FROM b), y AS (SELECT doc_id, {_PASSAGE_RUNS} AS g FROM d, (SELECT DISTINCT k FROM b)),
+p AS (SELECT DISTINCT doc_id, item_id FROM x JOIN y ON x.g = y.g)
+SELECT p.doc_id, p.item_id, contains(d.text, b.text) AS whole FROM p JOIN d ON p.doc_id = d.doc_id JOIN b ON p.item_id = b.item_id"""
 _WINDOWS_SQL = """
 WITH n AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 4096 THEN 1 ELSE CAST(ceil((n - 4096) / 2048.0) AS BIGINT) + 1 END)) * 2048 AS s FROM n)
@@ -481,5 +499,7 @@ SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_max(
     "bioes_encode": _BIOES_SQL,
     "leakage_check": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark WHERE text IS NOT NULL)",
     "without_benchmark": "SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)",
+    "benchmark_passages": _PASSAGES_SQL,
+    "without_benchmark_passages": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
 }
