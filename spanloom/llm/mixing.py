@@ -55,13 +55,15 @@ def pieces(schedule: Sequence[tuple[float, float]]) -> list[tuple[float, float,
 
 
 def tokens_of(text: str) -> Column:
-    """A document's weight: a token for every four bytes, rounded up; 0 for a null text."""
+    """A document's weight where its tokens aren't counted: a token for every four bytes, rounded up; 0 for a null text."""
     return F.coalesce(F.ceil(F.octet_length(text) / F.lit(4)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, schedules: dict[str, list[tuple[float, float]]] | None = None, run_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sort: bool = True, position_col: str = "position", epoch_col: str = "epoch") -> DataFrame:
+def mix_sources(docs: DataFrame, schedules: dict[str, list[tuple[float, float]]] | None = None, run_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sort: bool = True, position_col: str = "position", epoch_col: str = "epoch", tokens_col: str | None = None) -> DataFrame:
     """``docs`` in training order, with its columns and two more: the position in [0, 1) and the epoch from 0.
 
+    A document weighs its ``tokens_col``, or where that isn't given an estimate
+    by its bytes, which is off by more in one language than in another.
     ``run_tokens`` is by default all tokens of the corpus; ``schedules`` by
     default goes from the sources' own shares to flatter ones, and a source
     that it doesn't name has no weight.  A null source is a source of its own,
@@ -73,10 +75,11 @@ def mix_sources(docs: DataFrame, schedules: dict[str, list[tuple[float, float]]]
     """
     base = docs.drop(position_col, epoch_col)
     names = base.columns
+    weight = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else tokens_of(text_col)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     bucket = F.substring(order, 1, BUCKET_DIGITS)
-    buckets = materialise(base.select(source.alias("_s"), bucket.alias("_b"), tokens_of(text_col).alias("_n")).groupBy("_s", "_b").agg(F.sum("_n").alias("_t")), "buckets")
+    buckets = materialise(base.select(source.alias("_s"), bucket.alias("_b"), weight.alias("_n")).groupBy("_s", "_b").agg(F.sum("_n").alias("_t")), "buckets")
     supply = {r["_s"]: r["_t"] for r in buckets.groupBy("_s").agg(F.sum("_t").alias("_t")).collect()}
     total = sum(supply.values()) if run_tokens is None else run_tokens
     plan = schedules if schedules is not None else power_schedules(supply)
@@ -89,7 +92,7 @@ def mix_sources(docs: DataFrame, schedules: dict[str, list[tuple[float, float]]]
     stretches = docs.sparkSession.createDataFrame(rows, "_s string, _supply long, _demand double, _parts array<struct<a: double, d: double, w: double, m: double>>")
     # at most sources x 16^BUCKET_DIGITS rows: a rank within a source is its buckets' tokens before, then a rank in the bucket
     before = buckets.withColumn("_before", F.sum("_t").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_t")).join(by_size(stretches, len(rows)), "_s").select("_s", "_b", "_before", "_supply", "_demand", "_parts")
-    keyed = base.select(F.struct(*names).alias("_row"), source.alias("_s"), bucket.alias("_b"), order.alias("_o"), tokens_of(text_col).alias("_n"))
+    keyed = base.select(F.struct(*names).alias("_row"), source.alias("_s"), bucket.alias("_b"), order.alias("_o"), weight.alias("_n"))
     w = Window.partitionBy("_s", "_b").orderBy("_o", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, -1)
     # the join and the rank share one shuffle by source and bucket
     ranked = keyed.join(before, ["_s", "_b"]).withColumn("_c", F.col("_before") + F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -71,7 +71,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op5_telephony_audio, op6_embedding_near_pairs, op7_chat_format, op8_toxicity, op9_packing, op10_mixing)}
+def op10_mixing_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents weighed by their tokens, not by an estimate from their bytes; n_tokens is one more column."""
+    from pyspark.sql import functions as F
+
+    docs = tokencount.with_tokens(_read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(docs, tokens_col="n_tokens").withColumn("position", F.round("position", 9))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op5_telephony_audio, op6_embedding_near_pairs, op7_chat_format, op8_toxicity, op9_packing, op10_mixing, op10_mixing_by_tokens)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanloom.llm import bytesops as B
 
@@ -294,3 +295,19 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_sl_text"))
     kind = wanted.schema[0].dataType.simpleString()
     return wanted.mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")
+
+
+def with_tokens(docs: DataFrame, out_col: str = "n_tokens", text_col: str = "text", ranks_path: str = DEFAULT_RANKS, table_size: int = TABLE_SIZE) -> DataFrame:
+    """``docs`` with its columns and each row's tokens as ``out_col``, counted as ``count_tokens`` does, in the row: no id is needed."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, text_col, ranks_path, table_size))
+    base = docs.drop(out_col)
+    wanted = base.withColumn("_sl_text", F.col(text_col).cast("string"))
+    schema = StructType([*base.schema.fields, StructField(out_col, LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(table.value, ranks_path)
+        for batch in batches:
+            raw, offsets, valid = B.text_buffers(batch.columns[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counter(raw, offsets), mask=~valid)], schema.names)
+
+    return wanted.mapInArrow(count, schema)

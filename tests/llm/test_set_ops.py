@@ -319,6 +319,26 @@ def test_mixing_query(spark):
     assert out == sorted(out)
 
 
+def test_mixing_by_counted_tokens(spark):
+    """Texts of equal bytes and other tokens: demand is met in tokens."""
+    import hashlib
+
+    from spanloom.llm import tokencount
+
+    texts = {"a": "the house is old " * 40, "b": "Straßenbähnchenübergänge " * 26}
+    rows = [(i, texts["ab"[i % 2]], "ab"[i % 2]) for i in range(40)]
+    df = tokencount.with_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    n = {r.doc_id: r.n_tokens for r in df.collect()}
+    assert n == {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df).collect()} and n[1] > 1.3 * n[0]
+    schedules = {"a": [(0.0, 0.5)], "b": [(0.0, 0.5)]}
+    run = sum(n.values())
+    got = sorted((r.doc_id, r.epoch, r.position) for r in mixing.mix_sources(df, schedules, tokens_col="n_tokens").collect())
+    want = sorted(brute_mix([(i, s, n[i], hashlib.md5(str(i).encode()).hexdigest()) for i, _, s in rows], schedules, run))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-3)
+    read = {s: sum(n[i] for i, *_ in got if "ab"[i % 2] == s) for s in "ab"}
+    assert abs(read["a"] - read["b"]) < 2 * max(n.values())
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "aaaa" * 9, "s", 1), (1, "aaaa" * 9, "s", 1), (None, "bbbb", None, 1), (2, None, "s", 1), (3, "", "s", 1), (4, "c" * 100_000, "t", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int")
