@@ -92,10 +92,10 @@ def _whole(text: str, label: str) -> Column:
     return F.array(F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"), F.lit(1.0).alias("score"), F.lit(label).alias("label")))
 
 
-def trim_spans(spark, sf_dir):
+def trim_spans(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Each turn between an equals sign and blanks as one span, trimmed."""
-    t = _read(spark, sf_dir, "conversations").withColumn("text", F.concat(F.lit("= \u3000"), "text", F.lit(" =\u3000 ")))
-    return t.select("conv_id", "turn", F.explode(post.trim("text", _whole("text", "secret"))).alias("s")).select("conv_id", "turn", *_long("s.start", "s.end"))
+    t = _read(spark, sf_dir, table).withColumn("text", F.concat(F.lit("= \u3000"), "text", F.lit(" =\u3000 ")))
+    return t.select(*keys, F.explode(post.trim("text", _whole("text", "secret"))).alias("s")).select(*keys, *_long("s.start", "s.end"))
 
 
 def person_split(spark, sf_dir):
@@ -104,11 +104,11 @@ def person_split(spark, sf_dir):
     return t.select("conv_id", "turn", F.explode(post.clean("text", _whole("text", "private_person"))).alias("s")).select("conv_id", "turn", *_long("s.start", "s.end"))
 
 
-def merge_near_spans(spark, sf_dir):
+def merge_near_spans(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Words of five letters or more of each turn as spans; neighbours merge over up to four blanks."""
-    t = _read(spark, sf_dir, "conversations")
+    t = _read(spark, sf_dir, table)
     spans = matches("text", "FIRSTNAME", "[A-Za-z]{5,}", "chars")
-    return t.select("conv_id", "turn", F.explode(post.merge_near("text", post.remap_labels(spans))).alias("s")).select("conv_id", "turn", *_long("s.start", "s.end"), "s.label")
+    return t.select(*keys, F.explode(post.merge_near("text", post.remap_labels(spans))).alias("s")).select(*keys, *_long("s.start", "s.end"), "s.label")
 
 
 def remap_labels(spark, sf_dir):
@@ -179,10 +179,10 @@ def pretokenize(spark, sf_dir):
     return d.select("doc_id", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "\x1f").cast("binary")).alias("digest"))
 
 
-def pretoken_spans(spark, sf_dir):
+def pretoken_spans(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Each turn's pre-tokens with byte offsets."""
-    t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(pretoken.pretokens("text")).alias("p"))
-    return t.select("conv_id", "turn", *_long("p.start", "p.end"), "p.piece")
+    t = _read(spark, sf_dir, table).select(*keys, F.explode(pretoken.pretokens("text")).alias("p"))
+    return t.select(*keys, *_long("p.start", "p.end"), "p.piece")
 
 
 def pretoken_counts(spark, sf_dir):
@@ -228,14 +228,14 @@ def row_parity(spark, sf_dir):
     return rows.select("vec_id", F.round("cosine", 6).alias("cosine"), F.round("row_err", 6).alias("row_err"), "same_argmax")
 
 
-def bioes_encode(spark, sf_dir):
+def bioes_encode(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Classes of each turn's words under spans of its capitalised words and numbers."""
     words = F.transform(matches("text", "w", r"[A-Za-z0-9]+", "chars"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     spans = F.concat(matches("text", "private_person", r"[A-Z][a-z]+(?: [a-z]+)?", "chars"), matches("text", "account_number", r"[0-9]+", "chars"))
     labels = ["O", *(f"{t}-{c}" for c in ("private_person", "account_number") for t in "BIES")]
-    t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w"), spans.alias("s"))
-    found = t.select("conv_id", "turn", F.posexplode(datasets.bioes_labels("w", "s", labels)).alias("pos", "class"))
-    return found.select("conv_id", "turn", *_long("pos", "class"))
+    t = _read(spark, sf_dir, table).select(*keys, words.alias("w"), spans.alias("s"))
+    found = t.select(*keys, F.posexplode(datasets.bioes_labels("w", "s", labels)).alias("pos", "class"))
+    return found.select(*keys, *_long("pos", "class"))
 
 
 def leakage_check(spark, sf_dir):
@@ -268,10 +268,10 @@ def validation_split(spark, sf_dir):
     return datasets.with_split(_read(spark, sf_dir, "documents"), 0.1, seed=7, id_col="doc_id").select("doc_id", "is_validation")
 
 
-def wrapped_lines(spark, sf_dir):
+def wrapped_lines(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Each turn wrapped at 40 characters, with the entities on each line."""
-    t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", present.on_lines(present.wrapped("text", 40), rule_spans("text", unit="chars")).alias("l"))
-    return t.select("conv_id", "turn", F.posexplode("l").alias("line", "l")).select("conv_id", "turn", "line", *_long("l.start", "l.end"), F.size("l.spans").alias("entities"))
+    t = _read(spark, sf_dir, table).select(*keys, present.on_lines(present.wrapped("text", 40), rule_spans("text", unit="chars")).alias("l"))
+    return t.select(*keys, F.posexplode("l").alias("line", "l")).select(*keys, "line", *_long("l.start", "l.end"), F.size("l.spans").alias("entities"))
 
 
 def found_so_far(spark, sf_dir):
@@ -312,10 +312,10 @@ def stream_redact(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
-def tokenize_bpe(spark, sf_dir):
+def tokenize_bpe(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Tokens of each turn under a public vocabulary."""
-    t = bpe.tokenize(_read(spark, sf_dir, "conversations"), bpe.load_tokenizer_json(VOCABULARY))
-    return t.select("conv_id", "turn", F.explode("tokens").alias("t")).select("conv_id", "turn", *_long("t.id", "t.start", "t.end"))
+    t = bpe.tokenize(_read(spark, sf_dir, table), bpe.load_tokenizer_json(VOCABULARY))
+    return t.select(*keys, F.explode("tokens").alias("t")).select(*keys, *_long("t.id", "t.start", "t.end"))
 
 
 def _tiny() -> Engine:
@@ -330,18 +330,29 @@ def _tiny() -> Engine:
     return Engine(vocabulary=vocabulary, config=config, load=load, labels=BIOES, window=64, threshold=0.0)
 
 
-def classify_by_model(spark, sf_dir):
+def classify_by_model(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Turns classified by a small model of seeded weights: tokens, windows, forward pass, decoding, clean-up."""
-    t = _read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    t = _read(spark, sf_dir, table).select((F.col(*keys) if len(keys) == 1 else F.concat_ws("-", *keys)).alias("doc_id"), "text")
     e = _tiny().classify(t).select("doc_id", F.explode("entities").alias("e"))
     return e.select("doc_id", *_long("e.start", "e.end"), "e.label", F.round("e.score", 3).alias("score"))
 
 
+def _of_documents(query):
+    """The query over documents, whose texts are the long ones, and not turns."""
+
+    def run(spark, sf_dir):
+        return query(spark, sf_dir, "documents", ("doc_id",))
+
+    run.__name__, run.__doc__ = f"{query.__name__}_documents", f"{query.__name__} over documents, not turns."
+    return run
+
+
 _ALL = (
     classify_documents, redact_fixed, redact_labels, mask_documents, entity_counts, top_categories, byte_char_offsets, trim_spans, person_split, merge_near_spans, remap_labels,
     spans_from_bioes, threshold_filter, argmax_label, log_softmax_rows, viterbi_paths, lenient_decode, halo_windows, window_coverage, pretokenize, pretoken_spans, pretoken_counts,
     digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, validation_split, wrapped_lines,
     found_so_far, latest_findings, entities_json, redact_pages, redact_conversations, stream_redact, tokenize_bpe, classify_by_model,
+    *map(_of_documents, (trim_spans, merge_near_spans, pretoken_spans, bioes_encode, wrapped_lines, tokenize_bpe, classify_by_model)),
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -503,3 +514,5 @@ SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_max(
     "without_benchmark_passages": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
 }
+for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode"):
+    ORACLE_SQL[f"{_name}_documents"] = f"WITH conversations AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM documents) SELECT conv_id AS doc_id, * EXCLUDE (conv_id, turn) FROM ({ORACLE_SQL[_name]})"
