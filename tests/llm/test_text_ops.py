@@ -159,6 +159,14 @@ def test_toxicity_scores_do_not_depend_on_neighbours(spark, documents):
     assert model.score(raw, offsets)[0] == pytest.approx(float(np.array(top) @ model.out + model.out_bias), abs=1e-3)
 
 
+def test_words_of_a_small_sample_are_learned():
+    texts = [f"the house number{i} is near {'scumbag' if i % 10 == 0 else 'water'}" for i in range(40)]
+    model = toxicity.train(texts, np.array([int(i % 10 == 0) for i in range(40)]), epochs=1)
+    raw, offsets, _ = B.text_buffers(pa.array(["scumbag", "water"]))
+    assert (np.abs(model.tables[0, toxicity.word_buckets(raw, offsets)[0][0]]).sum(axis=1) > 0).all()
+    assert [toxicity.least_docs(n) for n in (10, 299, 300, 5000)] == [2, 2, 3, 6]
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit_on(documents, labels.union(labels))
