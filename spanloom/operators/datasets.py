@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.labels import resolve_category
@@ -79,6 +79,12 @@ def repeated_texts(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.filter(F.col(text_col).isNotNull()).groupBy(F.sha2(F.col(text_col), 256).alias("text_hash")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def repeated_ids(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_hash, n, id) of each row whose text more than one row has; only hashes and ids are shuffled."""
+    keyed = rows.filter(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col), 256).alias("text_hash"), F.col(id_col))
+    return keyed.select("text_hash", F.count("*").over(Window.partitionBy("text_hash")).alias("n"), id_col).filter("n > 1")
+
+
 def without(rows: DataFrame, held_out: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` whose text is none of ``held_out``'s."""
     keys = held_out.select(F.sha2(F.col(text_col), 256).alias("_h")).filter("_h IS NOT NULL")

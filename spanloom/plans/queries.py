@@ -263,6 +263,11 @@ def repeated_texts(spark, sf_dir):
     return datasets.repeated_texts(_read(spark, sf_dir, "documents"))
 
 
+def repeated_text_ids(spark, sf_dir):
+    """Each document whose text another one has too, with the text's hash."""
+    return datasets.repeated_ids(_read(spark, sf_dir, "documents"))
+
+
 def validation_split(spark, sf_dir):
     """A tenth of the documents by a seeded hash."""
     return datasets.with_split(_read(spark, sf_dir, "documents"), 0.1, seed=7, id_col="doc_id").select("doc_id", "is_validation")
@@ -350,7 +355,7 @@ def _of_documents(query):
 _ALL = (
     classify_documents, redact_fixed, redact_labels, mask_documents, entity_counts, top_categories, byte_char_offsets, trim_spans, person_split, merge_near_spans, remap_labels,
     spans_from_bioes, threshold_filter, argmax_label, log_softmax_rows, viterbi_paths, lenient_decode, halo_windows, window_coverage, pretokenize, pretoken_spans, pretoken_counts,
-    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, validation_split, wrapped_lines,
+    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, repeated_text_ids, validation_split, wrapped_lines,
     found_so_far, latest_findings, entities_json, redact_pages, redact_conversations, stream_redact, tokenize_bpe, classify_by_model,
     *map(_of_documents, (trim_spans, merge_near_spans, pretoken_spans, bioes_encode, wrapped_lines, tokenize_bpe, classify_by_model)),
 )
@@ -513,6 +518,7 @@ SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_max(
     "benchmark_passages": _PASSAGES_SQL,
     "without_benchmark_passages": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
+    "repeated_text_ids": "SELECT sha256(text) AS text_hash, count(*) OVER (PARTITION BY text) AS n, doc_id FROM documents WHERE text IS NOT NULL QUALIFY n > 1",
 }
 for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode"):
     ORACLE_SQL[f"{_name}_documents"] = f"WITH conversations AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM documents) SELECT conv_id AS doc_id, * EXCLUDE (conv_id, turn) FROM ({ORACLE_SQL[_name]})"

@@ -25,3 +25,8 @@ def test_all_that_hold_a_whole_item(spark):
     want = connect().execute("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall()
     got = QUERIES["benchmark_passages"](spark, SF).filter("whole").select("doc_id", "item_id").collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_copies_are_named(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None), (6, ""), (7, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n) for r in datasets.repeated_ids(df).collect()) == [(1, 2), (3, 2), (6, 2), (7, 2)]
