@@ -12,6 +12,7 @@ whose boxes are near are tasks, each joined by the same recursion.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,8 +118,8 @@ def join_sequences(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray,
 def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: str = "vec_id", vector_col: str = "embedding", range_rows: int = RANGE_ROWS) -> DataFrame:
     """(vec_a, vec_b, distance) of every pair of vectors at a Euclidean distance of epsilon or less, vec_a < vec_b.
 
-    Rows of a null id, and of a vector that is null, empty, of another length
-    than the longest or has a null or not finite entry, are in no pair.  A
+    Rows of a null id, and of a vector that is null, empty or has a null or not
+    finite entry, are in no pair.  Vectors are joined within each length.  A
     repeated id isn't paired with itself, but each of its rows with others.
     Equal vectors are at distance 0.  Other columns aren't read.  An empty
     table gives an empty result.
@@ -128,10 +129,15 @@ def embedding_near_pairs(vectors: DataFrame, epsilon: float = EPSILON, id_col: s
     # single precision stays so until it is worked with: vectors are most of what is shuffled
     inner = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{inner}>").alias("v")).filter("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
-    n, dim = v.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], empty)
-    v = v.filter(f"size(v) = {dim}")
+    lengths = sorted((r["dim"], r["count"]) for r in v.groupBy(F.size("v").alias("dim")).count().collect())
+    # a length that one vector has makes no pair
+    found = [_near_pairs(v.filter(f"size(v) = {dim}"), n, dim, epsilon, range_rows, kind, inner) for dim, n in lengths if n > 1]
+    return functools.reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], empty)
+
+
+def _near_pairs(v: DataFrame, n: int, dim: int, epsilon: float, range_rows: int, kind: str, inner: str) -> DataFrame:
+    """The pairs of ``n`` vectors (id, v) of one length."""
+    empty = f"vec_a {kind}, vec_b {kind}, distance double"
     mean, turn = principal(v, dim)
     box = min(BOX_DIMS, dim)
     turn = turn[:, :box]

@@ -236,6 +236,12 @@ def test_vectors_of_odd_rows(spark):
     assert gridjoin.embedding_near_pairs(df.limit(0)).collect() == [] and gridjoin.embedding_near_pairs(df.filter("vec_id = 3")).collect() == []
 
 
+def test_a_longer_vector_removes_no_pairs(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.1]), (3, [0.0, 0.0, 0.0]), (4, [5.0]), (5, [5.1]), (6, [9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.vec_a, r.vec_b) for r in gridjoin.embedding_near_pairs(df).collect()) == [(1, 2), (4, 5)]
+
+
 def brute_best_fit(lengths, capacity):
     open_ = []
     for n in sorted(lengths, reverse=True):
