@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 import string
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,9 +47,14 @@ _GENERATORS = (
     ("SECRET", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|(?:api|access|auth|private)?[_ -]?(?:token|key)|credentials?|bearer)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{4,})")),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)")),
 )
+#: Full-width forms, the wide space and the digits of all scripts as ASCII, one code point for one, so that offsets hold.
+_FOLD = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"\u3000": " "} | {c: str(unicodedata.digit(c)) for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"}
+_WIDE = re.compile(f"[{''.join(sorted(_FOLD))}]")
 _ANCHOR = re.compile(r"[0-9@=:]")
 _ANCHOR_BYTE = np.zeros(256, bool)
 _ANCHOR_BYTE[list(b"0123456789@=:")] = True
+#: First bytes of U+0660 and what follows, where anchors that are folded lie: such texts are looked at, too.
+_ANCHOR_BYTE[0xD9:] = True
 _SPACE = re.compile(r"\s")
 
 _WORDS = {
@@ -92,9 +99,14 @@ def anchored(text: str) -> Iterator[tuple[int, int]]:
         yield start, s.start() if s else len(text)
 
 
+def folded(text: str) -> str:
+    """The text with full-width forms and all scripts' digits as ASCII; of the same length."""
+    return text if text.isascii() else _WIDE.sub(lambda m: _FOLD[m[0]], text)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of every candidate, in code points; they may overlap."""
-    found = set()
+    text, found = folded(text), set()
     for a, b in anchored(text):
         for k, (kind, pattern) in enumerate(_GENERATORS):
             for m in pattern.finditer(text, a, b):
@@ -118,14 +130,14 @@ def _luhn(digits: str) -> bool:
 
 def features(text: str, s: int, e: int, kind: int) -> list[float]:
     """Format and context of a candidate, as numbers."""
-    x = text[s:e]
+    x = folded(text[s:e])
     n = len(x)
     digits = "".join(c for c in x if "0" <= c <= "9")
     upper = sum(c.isupper() for c in x)
     lower = sum(c.islower() for c in x)
-    before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
+    before, after = folded(text[max(0, s - CONTEXT) : s]), folded(text[e : e + CONTEXT])
     parts = x.split(".")
-    left, right = text[s - 1 : s], text[e : e + 1]
+    left, right = before[-1:], after[:1]
     runs = [len(r) for r in re.findall(r"\d+", x)]
     return [
         *(float(kind == k) for k in range(len(KINDS))),

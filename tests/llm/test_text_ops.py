@@ -126,6 +126,19 @@ def test_candidates_do_not_depend_on_anchors():
         assert set(pii.candidates(long)) == every
 
 
+def test_wide_forms_are_private_as_narrow_ones_are(trees):
+    wide = {c: chr(ord(c) + 0xFEE0) for c in "0123456789@=:-+()"}
+    arabic = {c: chr(0x660 + int(c)) for c in "0123456789"}
+    texts = [t for t, _ in pii.examples(400, seed=6)]
+    narrow = trees.redactions(texts)
+    for table in (wide, arabic):
+        assert [pii.candidates(t.translate(str.maketrans(table))) for t in texts] == [pii.candidates(t) for t in texts]
+        assert trees.redactions([t.translate(str.maketrans(table)) for t in texts]) == narrow
+    rows = ["tel ０９０-１２３４-５６７８ x", "card ４１１１ １１１１ １１１１ １１１１ x", "password：hunter4821 x", "é x"]
+    text, count = pii._redact(trees, pa.array(rows))
+    assert count.tolist() == [1, 1, 1, 0] and not re.search("[０-９]|hunter", " ".join(text.to_pylist()))
+
+
 def test_private_data_of_odd_rows(spark, trees):
     docs = odd_docs(spark).unionByName(spark.createDataFrame([(70, "a " * 50_000 + "jo@mail1.example.com", "en", "s", None, "c", 1)], odd_docs(spark).schema))
     got = pii.redact_pii(docs, trees).collect()
