@@ -1,4 +1,4 @@
-"""Self-join of documents on the Jaccard similarity of their word n-gram sets.
+"""Self-join of documents on the Jaccard similarity of their word n-gram sets, exact.
 
 Every n-gram is hashed into one of ``GROUPS`` groups, and a document becomes
 the point of its group counts.  The n-grams that two documents share are at
@@ -7,15 +7,24 @@ can drop whole pairs of subtrees: a node's upper corner bounds the counts of
 all below it.  Pairs that survive are verified on the n-grams themselves.
 
 Over a whole corpus one tree would look at all pairs of leaves, as hashed
-counts of unrelated texts of one length lie close together.  So the groups
-serve a second time, to route: the smallest n-gram of each group, four groups
-to a key, sends a document to cells in which documents that share those four
-minima meet.  A tree is built in each distinct cell.  A pair of similarity s
-meets in some cell with probability 1-(1-s^4)^32: 0.87 at 0.5, 0.95 at 0.55,
-0.988 at 0.6, 0.9998 at 0.7.
-
-Documents of the same n-gram set are one class and go through the join once,
-so that thousands of copies cost as much as one.
+counts of unrelated texts of one length lie close together.  So documents are
+first routed to cells, and a tree is built in each.  The routing loses no pair:
+
+1. N-grams are counted by the sets that hold them.  One that a single set
+   holds is shared with nobody.  A set of n of which fewer than t n are held
+   elsewhere has no partner at threshold t and is out.
+2. Of what a set shares, in a common order from rare to frequent, a partner at
+   t must hold one of the first ``shared - t n + 1``; the first that both hold
+   is among those of both.
+3. Sets that meet under such an n-gram get a common cell, named after the
+   least of them, so that a group of near copies, which meet under hundreds of
+   n-grams, is one cell and not hundreds.
+
+Documents of one n-gram set are one class and go through the join once, so
+that thousands of copies cost as much as one.  N-grams are shuffled in packed
+arrays, a few bytes each.  Frequent ones (found by bounded summaries of all
+tasks) don't gather anywhere: they are dealt out by class and name their own
+cells, and a large cell is compared as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -30,17 +39,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesops as B
-from spanloom.llm.store import by_size, materialise
+from spanloom.llm.graph import components
+from spanloom.llm.store import by_size, discard, materialise
 
 N, THRESHOLD = 3, 0.5
-GROUPS, ROWS_A_KEY = 128, 4
+GROUPS = 128
 #: Fan-out of the tree.
 FAN = 16
-#: Documents of a cell that one task compares; a larger cell becomes pairs of such blocks, sorted by set size.
+#: Sets of a cell that one task compares; a larger cell becomes pairs of such blocks.
 BLOCK = 2048
+#: N-grams are told apart by the leading 40 + k bits of their hash, where 2^k partitions are shuffled to,
+#: and a partition is to hold about so many.
+REST_BITS, PART_GRAMS = 40, 1 << 21
+#: An n-gram of so many documents, and of one in FREQUENT_SHARE of a task's, is frequent; at most so many are.
+FREQUENT, FREQUENT_SHARE, MOST_FREQUENT = 1 << 15, 4096, 1 << 16
+#: Sets that meet under one n-gram are compared in size and place pair by pair where they are so few.
+SMALL = 64
 
 _SHIFT = np.uint64(64 - GROUPS.bit_length() + 1)
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+#: Codes of how many sets hold an n-gram: the number up to EXACT, then its logarithm; FREQUENT_CODE for the frequent.
+EXACT, FREQUENT_CODE = 200, 255
 
 
 def gram_sets(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,42 +95,24 @@ def gram_sets(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarr
         yield i, j, g[new], d[new]
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 def set_keys(g: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
-    """128 bits for each document's set, as bytes; equal for equal sets."""
-    out = np.zeros((docs, 2), np.uint64)
-    at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+    """64 bits for each document's set, equal for equal sets."""
+    out = np.zeros(docs, np.uint64)
+    at = _starts(d)
     if len(at):
-        for k in (0, 1):
-            out[d[at], k] = np.add.reduceat(B.mix64(g * _MUL[k] + _MUL[k + 2]), at)
+        out[d[at]] = B.mix64(np.add.reduceat(B.mix64(g * _MUL[0] + _MUL[2]), at))
     return out
 
 
 def group_counts(g: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
-    """The point of each document: n-grams in each group, the group being a hash's top bits."""
-    return np.bincount(d * GROUPS + (g >> _SHIFT).astype(np.int64), minlength=docs * GROUPS).reshape(docs, GROUPS)
-
-
-def route_keys(g: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
-    """Keys of the cells that each document goes to, from its groups' smallest n-grams."""
-    key = d * GROUPS + (g >> _SHIFT).astype(np.int64)
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    low, has = np.zeros(docs * GROUPS, np.uint64), np.zeros(docs * GROUPS, bool)
-    low[key[at]], has[key[at]] = g[at], True
-    low, has = low.reshape(docs, GROUPS), has.reshape(docs, GROUPS)
-    # an empty group borrows from the next one that isn't, mixed with the distance
-    ring = np.where(np.concatenate([has, has], axis=1), np.arange(2 * GROUPS), 2 * GROUPS)
-    near = np.minimum.accumulate(ring[:, ::-1], axis=1)[:, ::-1][:, :GROUPS]
-    far = (near - np.arange(GROUPS)).astype(np.uint64)
-    v = B.mix64(np.take_along_axis(low, near % GROUPS, axis=1) + far * _MUL[4])
-    v = v.reshape(docs, GROUPS // ROWS_A_KEY, ROWS_A_KEY)
-    out = np.zeros(v.shape[:2], np.uint64)
-    for k in range(ROWS_A_KEY):
-        out += v[:, :, k] * _MUL[k]
-    return B.mix64(out + np.arange(v.shape[1], dtype=np.uint64) * _MUL[5])
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * rows.itemsize), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+    """The point of each document: n-grams in each group."""
+    group = (g * _MUL[1] >> _SHIFT).astype(np.int64)
+    return np.bincount(d * GROUPS + group, minlength=docs * GROUPS).reshape(docs, GROUPS)
 
 
 class CountTree:
@@ -163,171 +164,494 @@ class CountTree:
         return u[keep], v[keep]
 
 
-def join_sets(sets: list[np.ndarray], threshold: float, counts: np.ndarray | None = None, allowed=None) -> Iterator[tuple[int, int, int]]:
-    """(a, b, overlap) of the pairs of sorted hash arrays that reach the threshold."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if counts is None:
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        counts = group_counts(flat, np.repeat(np.arange(len(sets)), sizes), len(sets))
-    a, b = CountTree(counts, sizes).pairs(threshold)
-    if allowed is not None:
+def join_sets(sets: list[np.ndarray], threshold: float, sizes: np.ndarray | None = None, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, overlap) of the pairs of sorted hash arrays that reach the threshold.
+
+    ``sizes`` are the sets' own where the arrays leave out what no other holds.
+    """
+    held = np.array([len(s) for s in sets], np.int64)
+    sizes = held if sizes is None else sizes
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    a, b = CountTree(group_counts(flat, np.repeat(np.arange(len(sets)), held), len(sets)), sizes).pairs(threshold)
+    if allowed is not None and len(a):
         ok = allowed(a, b)
         a, b = a[ok], b[ok]
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = (sets[x], sets[y]) if sizes[x] < sizes[y] else (sets[y], sets[x])
-        at = np.searchsorted(q, p)
-        at[at == len(q)] = 0
-        overlap = int((q[at] == p).sum())
-        if overlap >= threshold * (len(p) + len(q) - overlap) - 1e-9:
-            yield x, y, overlap
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    first = np.cumsum(held) - held
+    overlap = np.zeros(len(a), np.int64)
+    cuts = [*_starts(a).tolist(), len(a)]
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        x = sets[a[s]]
+        for s in range(s, e, 1024):  # one set against many at once
+            y = b[s : min(s + 1024, e)]
+            ends = np.cumsum(held[y])
+            values = flat[np.arange(ends[-1]) + np.repeat(first[y] - (ends - held[y]), held[y])]
+            at = np.searchsorted(x, values)
+            at[at == len(x)] = 0
+            found = np.concatenate([[0], np.cumsum(x[at] == values)])
+            overlap[s : s + len(y)] = found[ends] - found[ends - held[y]]
+    ok = overlap >= threshold * (sizes[a] + sizes[b] - overlap) - 1e-9
+    return a[ok], b[ok], overlap[ok]
+
+
+def _packed(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _unpacked(blob, width: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _blobs(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary array of the bytes of rows cuts[k]..cuts[k+1]."""
+    width = rows.itemsize * (rows.shape[1] if rows.ndim == 2 else 1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _runs(d: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, none longer than a 16-bit count."""
+    at = _starts(d)
+    if len(at) and np.diff(np.append(at, len(d))).max() > 65535:
+        at = np.unique(np.concatenate([at, *(np.arange(s, e, 65535) for s, e in zip(at, np.append(at[1:], len(d))))]))
+    return at
+
+
+#: Rows of packed n-grams: for classes ``cs``, of ``sizes`` n-grams, ``counts`` n-grams each, in partition ``part`` their ``rest``; ``more`` goes with each.
+_PACKED = "goes int, part int, cs binary, sizes binary, counts binary, rest binary, more binary"
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
+
+
+def _pack(goes, part, cut_entries, cut_runs, cs, sizes, counts, rest, more) -> pa.RecordBatch:
+    some = cut_runs[1:] > cut_runs[:-1]
+    columns = [pa.array(goes, pa.int32()), pa.array(part, pa.int32()), _blobs(cs, cut_runs), _blobs(sizes, cut_runs), _blobs(counts, cut_runs), _blobs(rest, cut_entries), _blobs(more, cut_entries)]
+    return pa.RecordBatch.from_arrays([c.filter(pa.array(some)) for c in columns], _NAMES)
+
+
+class _Entries:
+    """Packed rows of a partition, put together."""
+
+    def __init__(self, width: int):
+        self.width, self.rows = width, []
+
+    def add(self, batch: pa.RecordBatch, keep=lambda part: True) -> None:
+        for k, part in enumerate(batch.column(1).to_pylist()):
+            if keep(part):
+                cs, sizes, counts, rest, more = (batch.column(i)[k].as_buffer() for i in range(2, 7))
+                key = _unpacked(rest, self.width)
+                if part >= 0:
+                    key |= np.uint64(part) << np.uint64(REST_BITS)
+                self.rows.append((np.frombuffer(cs, np.uint64), np.frombuffer(sizes, np.uint32), np.frombuffer(counts, np.uint16), key, np.frombuffer(more, np.uint8)))
+
+    def all(self):
+        """(classes in order, size of each, class number of each n-gram, n-grams, more of each)."""
+        cs, sizes, counts, key, more = (np.concatenate(x) for x in zip(*self.rows))
+        self.rows = []
+        uc, at, inv = np.unique(cs, return_index=True, return_inverse=True)
+        return uc, sizes[at], np.repeat(inv.astype(np.int64), counts), key, more
+
+
+def _by_gram(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The order by n-gram, then class; repeated pairs only once."""
+    if len(key) and int(of.max()) < 1 << 24:
+        order = np.argsort(((key & np.uint64((1 << REST_BITS) - 1)) << np.uint64(24)) | of.astype(np.uint64))
+    else:
+        order = np.lexsort((of, key))
+    k, o = key[order], of[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return order[new]
 
 
 def _signatures(n):
+    """(id, class, size) of each document, then the task's own frequent n-grams in a row without an id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, kept, held = 0, [], 0
         for batch in batches:
             for i, j, g, d in gram_sets(batch.column(1), n):
                 sizes = np.bincount(d, minlength=j - i)
-                has = np.flatnonzero(sizes)
-                if not len(has):
-                    continue
-                bands = route_keys(g, d, j - i)[has]
-                width = bands.shape[1]
-                lists = pa.ListArray.from_arrays(np.arange(0, len(has) * width + 1, width, dtype=np.int32), bands.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has + i)), _binary(set_keys(g, d, j - i)[has]), pa.array(sizes[has]), lists], ["id", "cls", "n", "bands"])
+                docs += j - i
+                u, c = np.unique(g, return_counts=True)
+                kept.append((u[c > 1], c[c > 1]))
+                held += len(kept[-1][0])
+                if held > 1 << 20:
+                    kept = [_summed(kept, 1 << 18)]
+                    held = len(kept[0][0])
+                c = pa.array(set_keys(g, d, j - i).view(np.int64), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), c, pa.array(sizes), pa.nulls(j - i, pa.binary())], ["id", "c", "n", "frequent"])
+                id_type = batch.column(0).type
+        if kept:
+            u, c = _summed(kept, 1 << 14)
+            some = c >= max(16, docs // FREQUENT_SHARE)
+            blob = np.stack([u[some], c[some].astype(np.uint64)]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["id", "c", "n", "frequent"])
 
     return run
 
 
-def _payload(n):
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal hashes added up, the ``most`` largest."""
+    u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    c = np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+    if len(u) > most:
+        best = np.sort(np.argsort(-c, kind="stable")[:most])
+        u, c = u[best], c[best]
+    return u, c
+
+
+def _merge_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summaries of several tasks as one of bounded size."""
+    parts = []
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            parts.append(tuple(np.frombuffer(blob, np.uint64).reshape(2, -1)))
+            if len(parts) > 64:
+                parts = [_summed(parts, 4 * MOST_FREQUENT)]
+    if parts:
+        u, c = _summed(parts, 4 * MOST_FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array([np.stack([u, c.astype(np.uint64)]).tobytes()], pa.binary())], ["frequent"])
+
+
+def _spread(n, bits, frequent):
+    """Each document's n-grams, packed by the partition that they go to; its size, and its frequent n-grams, to its class's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frequent.value
+        parts, drop = 1 << bits, np.uint64(64 - REST_BITS - bits)
         for batch in batches:
-            for i, j, g, d in gram_sets(batch.column(1), n):
-                sizes = np.bincount(d, minlength=j - i)
-                has = sizes > 0
-                if not has.any():
+            for i, j, g, d in gram_sets(batch.column(0), n):
+                if not len(g):
                     continue
-                ends = np.concatenate([[0], np.cumsum(sizes[has])]) * 8
-                grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(has.sum()), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(g)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([_binary(set_keys(g, d, j - i)[has]), grams], ["cls", "grams"])
+                c = set_keys(g, d, j - i)
+                own = np.zeros(j - i, bool)
+                has = np.unique(d)
+                own[has[np.unique(c[has], return_index=True)[1]]] = True  # copies in one run go once
+                key = g >> drop
+                keep = own[d]
+                keep[1:] &= (key[1:] != key[:-1]) | (d[1:] != d[:-1])
+                key, d = key[keep], d[keep]
+                size = np.bincount(d, minlength=j - i).astype(np.uint32)
+                known = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+                # rare n-grams by their leading bits
+                k, e = key[~known], d[~known]
+                part = (k >> np.uint64(REST_BITS)).astype(np.int64)
+                order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+                k, e, part = k[order], e[order], part[order]
+                at = _runs(part * (j - i) + e)
+                ids = np.arange(parts)
+                yield _pack(ids, ids, np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[at], np.arange(parts + 1)), c[e[at]], np.zeros((len(at), 0), np.uint8), np.diff(np.append(at, len(k))).astype(np.uint16), _packed(k & np.uint64((1 << REST_BITS) - 1), 5), np.zeros((len(k), 0), np.uint8))
+                # sizes and frequent n-grams by class; a class's own number comes first, so that every class has a run
+                who = np.flatnonzero(own)
+                who = who[np.argsort(c[who])]
+                place = np.full(j - i, -1)
+                place[who] = np.arange(len(who))
+                k = np.concatenate([np.zeros(len(who), np.uint64), key[known]])
+                e = np.concatenate([np.arange(len(who)), place[d[known]]])
+                more = np.concatenate([np.zeros(len(who), np.uint8), np.full(int(known.sum()), FREQUENT_CODE, np.uint8)])
+                order = np.argsort(e, kind="stable")
+                k, e, more = k[order], e[order], more[order]
+                at = _runs(e)
+                goes = (c[who] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(who), np.int64)
+                yield _pack(ids, np.full(parts, -1), np.searchsorted(goes[e], np.arange(parts + 1)), np.searchsorted(goes[e[at]], np.arange(parts + 1)), c[who][e[at]], size[who][e[at]], np.diff(np.append(at, len(k))).astype(np.uint16), _packed(k, 8), more)
 
     return run
 
 
-def _join_cells(threshold):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
+def _shared(bits):
+    """Of a partition's n-grams those that several classes hold, packed by class, with the code of how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for cell in B.groups(batches, "task"):
-            at = {c: i for i, c in enumerate(cell.column("cls").to_pylist())}  # a repeated row of one id comes once
-            rows = sorted(at.values())
-            names, block = cell.column("cls").to_pylist(), cell.column("block").to_numpy()[rows]
-            names = [names[i] for i in rows]
-            grams = cell.column("grams")
-            sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in rows]
-            across = None if block.min() == block.max() else (lambda x, y, block=block: block[x] != block[y])
-            for x, y, o in join_sets(sets, threshold, allowed=across):
-                p, q = sorted((names[x], names[y]))
-                out.append((p, q, o, o / (len(sets[x]) + len(sets[y]) - o)))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        held, part = _Entries(5), None
+        for batch in batches:
+            own = pc.equal(batch.column(1), -1)
+            yield batch.filter(own)
+            rest = batch.filter(pc.invert(own))
+            if rest.num_rows:
+                part = rest.column(1)[0].as_py()
+                held.add(rest)
+        if part is None:
+            return
+        for row in range(len(held.rows)):  # sizes aren't sent along here
+            cs, _, *others = held.rows[row]
+            held.rows[row] = (cs, np.zeros(len(cs), np.uint32), *others[:-1], np.zeros(0, np.uint8))
+        uc, _, of, key, _ = held.all()
+        order = _by_gram(key, of)
+        key, of = key[order], of[order]
+        at = _starts(key)
+        many = np.diff(np.append(at, len(key)))
+        code = np.where(many <= EXACT, many, np.minimum(EXACT + 3 * np.log2(np.maximum(many, 1) / EXACT) + 1, FREQUENT_CODE - 1)).astype(np.uint8)
+        live = np.repeat(many > 1, many)
+        code = np.repeat(code, many)[live]
+        key, of = key[live], of[live]
+        order = np.argsort(of, kind="stable")
+        key, of, code = key[order], of[order], code[order]
+        at = _runs(of)
+        goes = (uc >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(uc), np.int64)
+        cuts = np.arange((1 << bits) + 1)
+        yield _pack(cuts[:-1], np.full(1 << bits, part), np.searchsorted(goes[of], cuts), np.searchsorted(goes[of[at]], cuts), uc[of[at]], np.zeros((len(at), 0), np.uint8), np.diff(np.append(at, len(of))).astype(np.uint16), _packed(key & np.uint64((1 << REST_BITS) - 1), 5), code)
 
     return run
 
 
-def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): documents of each n-gram set, and the pairs of sets that reach the threshold.
+#: What is left of a class: its size, the n-grams that others hold too (6 or 8 bytes each); and packed n-grams under which it may meet a partner.
+_LEFT = f"c long, n int, grams binary, {_PACKED}"
 
-    classes: cls, members (sorted distinct ids); pairs: a, b, overlap, jaccard.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    signed = texts.mapInArrow(_signatures(n), f"id {kind}, cls binary, n long, bands array<long>")
-    classes = materialise(signed.groupBy("cls").agg(F.sort_array(F.collect_set("id")).alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    cells = (
-        classes.select("cls", "n", F.explode("bands").alias("key"))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("cell"))
-        .filter("size(cell) > 1")
-        .select(F.array_distinct("cell").alias("cell"))
-        .dropDuplicates(["cell"])
-    )
-    last = f"CAST((size(cell) - 1) DIV {block} AS INT)"
-    # what a block's sets are least and most in size is all that its members need to know of their cell
-    ends = f"transform(sequence(0, {last}), k -> named_struct('least', element_at(cell, k * {block} + 1).n, 'most', element_at(cell, least((k + 1) * {block}, size(cell))).n))"
-    rows = (
-        cells.select(F.xxhash64("cell").alias("id"), F.expr(ends).alias("ends"), F.posexplode("cell").alias("p", "m"))
-        .selectExpr("id", "ends", "m.cls AS cls", f"CAST(p DIV {block} AS INT) AS block")
-        .selectExpr("id", "ends", "cls", "block", "explode(sequence(0, size(ends) - 1)) AS other")
-        .selectExpr("id", "ends", "cls", "block", "least(block, other) AS i", "greatest(block, other) AS j")
-        .filter(f"i = j OR ends[i].most >= {threshold} * ends[j].least - 1e-9")
-        .selectExpr("xxhash64(id, i, j) AS task", "cls", "block")
-    )
-    rows = materialise(rows, "cells")
-    wanted = rows.select("cls").distinct().join(classes.selectExpr("cls", "members[0] AS id"), "cls").select("id").distinct()
-    wanted = materialise(wanted, "wanted")
-    grams = texts.join(by_size(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(_payload(n), "cls binary, grams binary")
-    pairs = rows.join(grams, "cls").repartition("task").sortWithinPartitions("task").mapInArrow(_join_cells(threshold), "a binary, b binary, overlap long, jaccard double")
-    return classes.select("cls", "members"), materialise(pairs.dropDuplicates(["a", "b"]), "pairs")
 
+def _survivors(bits, threshold):
+    width = 6 if REST_BITS + bits <= 48 else 8
+    names = ["c", "n", "grams", *_NAMES]
+    schema = pa.schema([("c", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("goes", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in _NAMES[2:])])
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of every pair of documents found at the threshold or above, doc_a < doc_b.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, own = _Entries(5), _Entries(8)
+        for batch in batches:
+            rare.add(batch, lambda part: part >= 0)
+            own.add(batch, lambda part: part < 0)
+        if not own.rows:
+            return
+        uc, size, of, key, code = own.all()
+        extra = code > 0  # frequent ones, of each copy that was sent
+        of, key, code = of[extra], key[extra], code[extra]
+        if rare.rows:
+            found = [(np.searchsorted(uc, cs), counts, k, m) for cs, _, counts, k, m in rare.rows]
+            of = np.concatenate([of, *(np.repeat(w, n) for w, n, _, _ in found)])
+            key, code = np.concatenate([key, *(x[2] for x in found)]), np.concatenate([code, *(x[3] for x in found)])
+        order = np.lexsort((key, of))
+        key, of, code = key[order], of[order], code[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        key, of, code = key[new], of[new], code[new]
+        shared = np.bincount(of, minlength=len(uc))
+        need = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), 1)
+        stays = shared >= need
+        ok = stays[of]
+        key, of, code = key[ok], of[ok], code[ok]
+        who = np.flatnonzero(stays)
+        cuts = np.searchsorted(of, np.append(who, len(uc)))
+        table = [pa.array(uc[who].view(np.int64)), pa.array(size[who].astype(np.int32)), _blobs(_packed(key, width), cuts)]
+        yield pa.RecordBatch.from_arrays([*table, *(pa.nulls(len(who), schema.field(x).type) for x in _NAMES)], schema=schema)
+        order = np.lexsort((key, code, of))  # from rare to frequent
+        key, of, code = key[order], of[order], code[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        first = place <= (shared - need)[of]
+        left = (shared[of] - place)[first].astype(np.uint32)
+        key, of, code = key[first], of[first], code[first]
+        for known in (False, True):
+            pick = np.flatnonzero((code == FREQUENT_CODE) == known)
+            k, o, m = key[pick], of[pick], left[pick]
+            # frequent n-grams are dealt out by class
+            part = np.zeros(len(k), np.int64) if known else (k >> np.uint64(REST_BITS)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            k, o, m, part = k[order], o[order], m[order], part[order]
+            at = _runs(part * len(uc) + o)
+            cuts = np.arange(2 if known else (1 << bits) + 1)
+            ids = cuts[:-1]
+            rows = _pack(np.array([int(uc[0]) >> (64 - bits)]) if known else ids, np.full(1, -1) if known else ids, np.searchsorted(part, cuts), np.searchsorted(part[at], cuts), uc[o[at]], size[o[at]].astype(np.uint32), np.diff(np.append(at, len(k))).astype(np.uint16), _packed(k, 8 if known else 5), m)
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, schema.field(x).type) for x in names[:3]] + rows.columns, schema=schema)
 
-    Copies are listed as pairs too, so a class of m copies gives m(m-1)/2 rows.
-    Rows of a null id or text and texts without a word are in no pair.  An id
-    on several rows stands for each of their texts and is never paired with
-    itself.  Ties have no order: all pairs are reported.  Columns other than
-    the two named are not read.  An empty table gives an empty result.
+    return run
+
+
+def _meetings(threshold, small):
+    """(cell, frequent, class): classes that may be partners, by the least of those that meet with them; under a frequent n-gram, by that."""
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Entries(5)
+        for batch in batches:
+            known = _Entries(8)
+            known.add(batch, lambda part: part < 0)
+            for cs, _, counts, key, _ in known.rows:
+                yield _cells(key, np.repeat(cs, counts), True)
+            held.add(batch, lambda part: part >= 0)
+        if not held.rows:
+            return
+        uc, size, of, key, more = held.all()
+        left = more.view(np.uint32).astype(np.int64)
+        order = _by_gram(key, of)
+        key, of, left = key[order], of[order], left[order]
+        at = _starts(key)
+        many = np.diff(np.append(at, len(key)))
+        keep = np.repeat(many > small, many)
+        for k in np.unique(many[(many > 1) & (many <= small)]).tolist():
+            runs = at[many == k]
+            for s in range(0, len(runs), max(1, (1 << 20) // (k * k))):
+                ix = runs[s : s + max(1, (1 << 20) // (k * k)), None] + np.arange(k)
+                n, m = size[of[ix]].astype(np.int64), left[ix]
+                ok = np.minimum(m[:, :, None], m[:, None, :]) >= share * (n[:, :, None] + n[:, None, :]) - 1e-9
+                ok[:, np.arange(k), np.arange(k)] = False
+                keep[ix] = ok.any(axis=2)
+        key, of = key[keep], of[keep]
+        at = _starts(key)
+        least = np.repeat(of[at], np.diff(np.append(at, len(key))))
+        both = np.unique(least.astype(np.uint64) << np.uint64(32) | of.astype(np.uint64))
+        yield _cells(uc[(both >> np.uint64(32)).astype(np.int64)], uc[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)], False)
+
+    def _cells(cell, c, frequent):
+        return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(c), frequent)), pa.array(c.view(np.int64))], ["cell", "frequent", "c"])
+
+    return run
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's group under links (a, b)."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(root, old):
+            return root
+
+
+def _join_cells(threshold, width, listed):
+    """Of each cell the links; or, where pairs aren't ``listed``, how many documents each class is linked to here, and the least class of those connected."""
+    names = ["a", "b", "overlap", "jaccard"] if listed else ["c", "links", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in B.groups(batches, "task"):
+            c, n, copies = (cell.column(x).to_numpy() for x in ("c", "n", "copies"))
+            block, grams = cell.column("block").to_numpy(), cell.column("grams").combine_chunks()
+            sets = [_unpacked(grams[i].as_buffer(), width) for i in range(len(c))]
+            here = (cell.column("cell")[0].as_py(), cell.column("frequent")[0].as_py())
+            other = [{(x["cell"], x["frequent"]) for x in v} for v in cell.column("cells").to_pylist()]
+            several = np.array([len(x) > 1 for x in other])
+
+            def allowed(x, y, block=block, here=here, other=other, several=several):
+                # two blocks of a cell are compared across only, and a pair that meets in several cells counts in the least
+                ok = (block[x] != block[y]) | (block.min() == block.max())
+                for k in np.flatnonzero(ok & several[x] & several[y]).tolist():
+                    ok[k] = min(other[x[k]] & other[y[k]]) == here
+                return ok
+
+            x, y, o = join_sets(sets, threshold, n.astype(np.int64), allowed)
+            if not len(x):
+                continue
+            if listed:
+                out = [pa.array(np.minimum(c[x], c[y])), pa.array(np.maximum(c[x], c[y])), pa.array(o), pa.array(o / (n[x] + n[y] - o))]
+            else:
+                links = np.bincount(x, copies[y], len(c)) + np.bincount(y, copies[x], len(c))
+                has = np.flatnonzero(links)
+                out = [pa.array(c[has]), pa.array(links[has].astype(np.int64)), pa.array(c[_roots(len(c), x, y)[has]])]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+class Join:
+    """The join over ``docs``: ``nodes`` (id, c) are the distinct pairs of an id and an n-gram set that has any; ``classes`` (c, first, copies) the sets."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, block: int = BLOCK, frequent: int = FREQUENT, part_grams: int = PART_GRAMS, small: int = SMALL):
+        spark = docs.sparkSession
+        self.threshold, self.block = threshold, block
+        self.kind = docs.schema[id_col].dataType.simpleString()
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+        self.signed = signed = materialise(texts.mapInArrow(_signatures(n), f"id {self.kind}, c long, n long, frequent binary"), "signed")
+        self.nodes = signed.filter("c IS NOT NULL").select("id", "c").distinct()
+        self.classes = materialise(self.nodes.groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
+        grams = signed.agg(F.sum("n")).first()[0] or 0
+        shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(grams / part_grams))
+        self.bits = min((shuffled - 1).bit_length(), 24)
+        parts, drop = 1 << self.bits, np.uint64(64 - REST_BITS - self.bits)
+        found = signed.filter("frequent IS NOT NULL").select("frequent").repartition(8).mapInArrow(_merge_frequent, "frequent binary").toPandas().frequent.tolist()
+        common = np.zeros(0, np.uint64)
+        if found:
+            u, c = _summed([tuple(np.frombuffer(x, np.uint64).reshape(2, -1)) for x in found], MOST_FREQUENT)
+            common = np.unique(u[c >= frequent] >> drop)
+        shared = spark.sparkContext.broadcast(common)
+        spread = texts.select("text").mapInArrow(_spread(n, self.bits, shared), _PACKED).repartitionById(parts, "goes")
+        live = spread.mapInArrow(_shared(self.bits), _PACKED).repartitionById(parts, "goes")
+        self.left_all = left = materialise(live.mapInArrow(_survivors(self.bits, threshold), _LEFT), "left")
+        self.left = left.filter("c IS NOT NULL").select("c", "n", "grams")
+        meet = left.filter("c IS NULL").select(*_NAMES).repartitionById(parts, "goes").mapInArrow(_meetings(threshold, small), "cell long, frequent boolean, c long")
+        self.cells = materialise(meet.distinct(), "cells")
+
+    def _joined(self, listed: bool, schema: str) -> DataFrame:
+        size = materialise(self.cells.groupBy("cell", "frequent").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        large = size.filter(F.col("size") > self.block)
+        some = self.cells.join(size.select("cell", "frequent"), ["cell", "frequent"], "left_semi")
+        mine = some.groupBy("c").agg(F.collect_list(F.struct("cell", "frequent")).alias("cells"))
+        full = mine.join(self.left, "c").join(self.classes.select("c", "copies"), "c")
+        rows = full.select("*", F.explode("cells").alias("at")).select("c", "n", "copies", "grams", "cells", "at.cell", "at.frequent")
+        rows = rows.join(by_size(large, large.count()), ["cell", "frequent"], "left")
+        # a large cell's blocks are by hash, and each pair of them is a task
+        rows = rows.withColumn("blocks", F.expr(f"coalesce(CAST(ceil(size / {self.block}) AS INT), 1)")).withColumn("block", F.expr("CAST(pmod(xxhash64(c), blocks) AS INT)"))
+        rows = rows.withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+        rows = rows.withColumn("task", F.expr("concat_ws(' ', cell, frequent, least(block, other), greatest(block, other))")).drop("size", "blocks", "other")
+        width = 6 if REST_BITS + self.bits <= 48 else 8
+        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join_cells(self.threshold, width, listed), schema)
+
+    def pairs(self) -> DataFrame:
+        """(a, b, overlap, jaccard) of the classes that are linked, a < b, each pair once."""
+        return self._joined(True, "a long, b long, overlap long, jaccard double")
+
+    def linked(self) -> DataFrame:
+        """(c, links, least): of each class that isn't alone the number of other documents that any document of it is linked to, and the least id of its group."""
+        found = materialise(self._joined(False, "c long, links long, root long"), "links")
+        # a repeated id connects its texts
+        twice = self.nodes.groupBy("id").agg(F.min("c").alias("b"), F.count("*").alias("many")).filter("many > 1")
+        joint = self.nodes.join(twice, "id").filter("c <> b").select(F.col("c").alias("a"), "b")
+        edges = found.selectExpr("c AS a", "root AS b").unionByName(joint)
+        groups = components(edges).withColumnRenamed("node", "c").join(self.classes.select("c", "first"), "c")
+        least = groups.groupBy("root").agg(F.min("first").alias("least"))
+        links = found.groupBy("c").agg(F.sum("links").alias("links"))
+        several = self.classes.filter("copies > 1")
+        out = groups.join(least, "root").select("c", "least").join(links, "c", "left")
+        out = out.join(several.select("c", "first", "copies"), "c", "full")
+        out = materialise(out.selectExpr("c", "coalesce(links, 0) + coalesce(copies - 1, 0) AS links", "coalesce(least, first) AS least"), "linked")
+        discard(found, self.left_all, self.cells)
+        return out
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id, n_links), a row for each document.
+
+    A document is linked to every other one whose n-gram set reaches the
+    threshold with its own, copies included; n_links is their number, and
+    class_id the least id of all that links connect, the document's own where
+    there are none.  Rows of a null id give no row.  Null texts and texts
+    without a word are linked to nothing.  Repeated rows are one document; an
+    id with several texts has a row for each n-gram set of them (and one for
+    those without a word), linked or not as they are, but all of one class.
+    Ties have no order: all links count.  Columns other than the two named
+    aren't read.  An empty table gives an empty result.
     """
-    classes, pairs = class_pairs(docs, id_col, text_col, n, threshold)
-    own = classes.filter("size(members) > 1").select("members", F.posexplode("members").alias("p", "x"))
-    own = own.selectExpr("x", "explode(slice(members, p + 2, size(members))) AS y", "CAST(1 AS DOUBLE) AS jaccard")
-    left, right = classes.selectExpr("cls AS a", "members AS left"), classes.selectExpr("cls AS b", "members AS right")
-    across = pairs.join(left, "a").join(right, "b").select(F.explode("left").alias("x"), "right", "jaccard").select("x", F.explode("right").alias("y"), "jaccard")
-    return own.unionByName(across).filter("x <> y").selectExpr("least(x, y) AS doc_a", "greatest(x, y) AS doc_b", "jaccard")
+    join = Join(docs, id_col, text_col, n, threshold)
+    linked = join.linked()
+    nodes = join.nodes.join(by_size(linked, linked.count()), "c", "left").selectExpr("id", "coalesce(least, id) AS class_id", "coalesce(links, 0) AS n_links")
+    # texts without a word have no set; where the id has others too, they are of its class
+    bare = join.signed.filter("id IS NOT NULL AND c IS NULL").select("id").distinct()
+    own = bare.join(nodes.groupBy("id").agg(F.min("class_id").alias("least")), "id", "left").selectExpr("id", "coalesce(least, id) AS class_id", "0L AS n_links")
+    return nodes.unionByName(own).withColumnRenamed("id", id_col)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) of every node of undirected edges (a, b); root is the component's least node.
+def ngram_jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): (c, id) of each n-gram set c, and (a, b, overlap, jaccard) of the sets that reach the threshold.
 
-    Alternates large-star and small-star rounds until nothing changes; each
-    round is written to the shared folder.
+    Copies aren't expanded into pairs.  Rows of a null id or text, and texts
+    without a word, are in neither.
     """
-    from pyspark.sql import Window
-
-    def state(e):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    near = Window.partitionBy("a")
-    e = materialise(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").filter("a <> b").distinct(), "edges")
-    old = state(e)
-    for _ in range(most_rounds):
-        both = e.union(e.selectExpr("b AS a", "a AS b"))
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct()
-        small = large.withColumn("m", F.min("b").over(near)).selectExpr("explode(array(named_struct('a', a, 'b', m), named_struct('a', b, 'b', m))) AS s").selectExpr("s.a", "s.b").filter("a <> b").distinct()
-        e = materialise(small, "edges")
-        new = state(e)
-        if new == old:
-            break
-        old = new
-    else:
-        raise RuntimeError("components did not settle")
-    return e.selectExpr("a AS node", "b AS root").union(e.selectExpr("b AS node", "b AS root").distinct())
+    join = Join(docs, id_col, text_col, n, threshold)
+    return join.nodes.select("c", F.col("id").alias(id_col)), join.pairs()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with only the least id of each group of documents that pairs connect.
+    """``docs`` with only the least id of each group of documents that links connect.
 
     All columns stay.  Rows of a null id or text, and texts without a word,
-    all stay.  Rows of one id are one document: they stay or go together.
+    all stay, unless their id goes for another text.  Rows of one id are one
+    document: they stay or go together, repeated rows included.  An empty
+    table stays empty.
     """
-    classes, pairs = class_pairs(docs, id_col, text_col, n, threshold)
-    first = classes.selectExpr("cls", "members[0] AS id")
-    edges = pairs.select("a", "b").join(first.selectExpr("cls AS a", "id AS x"), "a").join(first.selectExpr("cls AS b", "id AS y"), "b").selectExpr("x AS a", "y AS b")
-    copies = classes.filter("size(members) > 1").selectExpr("members[0] AS b", "explode(slice(members, 2, size(members))) AS a").select("a", "b")
-    gone = materialise(components(edges.union(copies)).filter("node <> root").select(F.col("node").alias(id_col)), "gone")
+    join = Join(docs, id_col, text_col, n, threshold)
+    linked = join.linked()
+    gone = join.nodes.join(by_size(linked, linked.count()), "c").filter("id <> least").select(F.col("id").alias(id_col)).distinct()
+    gone = materialise(gone, "gone")
     return docs.join(by_size(gone, gone.count()), id_col, "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents of a trigram similarity of 0.5 or more."""
+    """Every document with the least id of its group and the number of documents of a trigram similarity of 0.5 or more."""
     return ngramjoin.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
@@ -83,14 +83,19 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
       FROM w WHERE len(w) > 0),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS o
-      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (na + nb - o)::DOUBLE AS jaccard FROM o WHERE o >= 0.5 * (na + nb - o)
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT doc_a, doc_b FROM o WHERE o >= 0.5 * (na + nb - o)),
+r AS (SELECT DISTINCT doc_a AS a, doc_a AS b FROM l UNION SELECT r.a, l.doc_b FROM r JOIN l ON r.b = l.doc_a),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT doc_a, count(*) AS n FROM l GROUP BY doc_a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n, 0) AS n_links
+FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN k ON k.doc_a = doc_id
 """,
     "op6_embedding_near_pairs": """
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance

@@ -13,9 +13,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
+    """The folder of spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, a new local one.
+
+    On a cluster a folder of one machine wouldn't be seen by the others, so
+    there the setting is asked for.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark, "_sl_shared", None)
         if not found:
             found = spark._sl_shared = "file://" + tempfile.mkdtemp(prefix="spanloom-")
@@ -26,7 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/spanloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._sl_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote and nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._sl_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_size(ids: DataFrame, rows: int) -> DataFrame:

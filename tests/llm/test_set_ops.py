@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import SF, assert_same, connect
 
-from spanloom.llm import audio, bytesops, gridjoin, mixing, ngramjoin, packing, queries
+from spanloom.llm import audio, bytesops, graph, gridjoin, mixing, ngramjoin, packing, queries
 
 
 def grams(text, n=3):
@@ -17,15 +17,16 @@ def grams(text, n=3):
     return {" ".join(w)} if 0 < len(w) < n else {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute_pairs(rows, threshold=0.5):
-    sets = [(i, grams(t)) for i, t in rows if i is not None and t is not None]
-    out = Counter()
-    for a in range(len(sets)):
-        for b in range(a + 1, len(sets)):
-            (i, x), (j, y) = sets[a], sets[b]
-            if i != j and x and y and len(x & y) >= threshold * len(x | y):
-                out[min(i, j), max(i, j), round(len(x & y) / len(x | y), 6)] += 1
-    return out
+def brute_links(rows, threshold=0.5):
+    """(id, least id of the group, links) of each distinct pair of an id and a set, by comparing all with all."""
+    nodes = sorted({(i, frozenset(grams(t or ""))) for i, t in rows if i is not None}, key=lambda x: (x[0], sorted(x[1])))
+    near = [[y for y, (_, h) in enumerate(nodes) if x != y and g and h and len(g & h) >= threshold * len(g | h)] for x, (_, g) in enumerate(nodes)]
+    root = list(range(len(nodes)))
+    edges = [(x, y) for x, ys in enumerate(near) for y in ys] + [(x, x + 1) for x in range(len(nodes) - 1) if nodes[x][0] == nodes[x + 1][0]]
+    for _ in nodes:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    return Counter((i, nodes[root[x]][0], len(near[x])) for x, (i, _) in enumerate(nodes))
 
 
 def noisy(seed, docs=30, copies=4, words=80):
@@ -41,11 +42,35 @@ def noisy(seed, docs=30, copies=4, words=80):
     return rows
 
 
-def test_near_copies_are_found(spark):
+def linked(df, **kw):
+    return Counter(tuple(r) for r in ngramjoin.ngram_jaccard_join(df, **kw).collect())
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_no_link_is_lost(spark, threshold):
     rows = noisy(1)
-    want = set(brute_pairs(rows))
-    got = {(r.doc_a, r.doc_b, round(r.jaccard, 6)) for r in ngramjoin.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) and {p for p in want if p[2] >= 0.7} <= got and len(want) > 30
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold) == brute_links(rows, threshold)
+
+
+def alike(n=40):
+    """A group in which all share much, and each pair something else."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    return [(i, " ".join(w if r.random() > 0.06 else f"n{r.randrange(9)}" for w in base)) for i in range(n)] + [(100 + i, f"other {i} text " * 9) for i in range(9)]
+
+
+@pytest.mark.parametrize("block, frequent, part_grams, small", [(2048, 1 << 15, 1 << 21, 64), (7, 1 << 15, 200, 2), (7, 17, 200, 64), (2048, 17, 1 << 21, 1)])
+def test_cells_blocks_and_frequent_grams(spark, block, frequent, part_grams, small):
+    rows = alike()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    join = ngramjoin.Join(df, "doc_id", "text", 3, 0.5, block, frequent, part_grams, small)
+    assert (join.cells.filter("frequent").count() > 0) == (frequent < 40)
+    first = {r.c: r.first for r in join.classes.collect()}
+    got = Counter(tuple(sorted((first[r.a], first[r.b]))) + (round(r.jaccard, 6),) for r in join.pairs().collect())
+    sets = [(i, grams(t)) for i, t in rows]
+    want = Counter((i, j, round(len(x & y) / len(x | y), 6)) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if x != y and len(x & y) >= 0.5 * len(x | y))
+    assert got == want and len(want) > 100
+    assert Counter((r.c, r.links) for r in join.linked().collect()) == Counter({(c, sum(f in p[:2] for p in want)): 1 for c, f in first.items() if any(f in p[:2] for p in want)})
 
 
 def test_ngram_query(spark):
@@ -61,7 +86,7 @@ def test_count_tree_loses_nothing(threshold):
         for _ in range(5):
             keep = rng.random(60) < rng.choice([0.95, 0.7, 0.4])
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, int((~keep).sum()), dtype=np.uint64)])))
-    got = {(min(a, b), max(a, b), o) for a, b, o in ngramjoin.join_sets(sets, threshold)}
+    got = {(min(a, b), max(a, b), o) for a, b, o in zip(*(x.tolist() for x in ngramjoin.join_sets(sets, threshold)))}
     want = set()
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
@@ -71,25 +96,9 @@ def test_count_tree_loses_nothing(threshold):
     assert got == want and want
 
 
-def test_blocks_of_a_cell_cover_all_pairs(spark):
-    rows = [(i, f"one two three four five six seven eight {i} nine ten") for i in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = [ngramjoin.class_pairs(df, threshold=0.3, block=b)[1].count() for b in (3, 5, 2048)]
-    assert pairs[0] == pairs[1] == pairs[2] == len(brute_pairs(rows, 0.3))
-
-
 def brute_keep(rows):
-    root = {i: i for i, _ in rows if i is not None}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b, _ in brute_pairs(rows):
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    return sorted((i is None, i or 0) for i, _ in rows if i is None or find(i) == i)
+    gone = {i for i, least, _ in brute_links(rows) if least != i}
+    return sorted((i is None, i or 0) for i, _ in rows if i not in gone)
 
 
 def test_one_of_each_group_stays(spark):
@@ -101,16 +110,22 @@ def test_one_of_each_group_stays(spark):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 100)], "a long, b long")
-    got = {r.node: r.root for r in ngramjoin.components(edges).collect()}
+    got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100}
 
 
 def test_ngram_join_of_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A, b. C d"), (3, "a b"), (4, "A B!"), (5, None), (None, "a b c d"), (6, ""), (7, "..."), (8, "lang " * 30_000), (9, "lang " * 30_000)]
     df = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id long, text string, bands binary")
-    got = sorted((r.doc_a, r.doc_b, r.jaccard) for r in ngramjoin.ngram_jaccard_join(df).collect())
-    assert got == [(1, 2, 1.0), (3, 4, 1.0), (8, 9, 1.0)]
-    assert ngramjoin.ngram_jaccard_join(df.limit(0)).collect() == [] and ngramjoin.keep_one(df.limit(0)).collect() == []
+    assert linked(df) == brute_links(rows) and linked(df)[8, 8, 1] == 1
+    assert linked(df.limit(0)) == Counter() and ngramjoin.keep_one(df.limit(0)).collect() == [] and linked(df.filter("text IS NULL OR text = ''")) == Counter({(5, 5, 0): 1, (6, 6, 0): 1})
+
+
+def test_an_id_with_several_texts(spark):
+    rows = [(5, "a b c d e f g h"), (5, "q r s t u v"), (5, None), (2, "q r s t u v"), (3, "a b c d e f g i"), (7, ""), (9, "z")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, c int")
+    assert linked(df) == brute_links(rows)
+    assert sorted(r.doc_id for r in ngramjoin.keep_one(df).collect()) == [2, 7, 9]
 
 
 def test_g711_tables():
