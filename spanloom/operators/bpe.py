@@ -38,7 +38,7 @@ class Vocabulary:
 
     ids: dict[bytes, int]
     ranks: dict[tuple[bytes, bytes], int] | None = None
-    cache: dict[bytes, list[tuple[int, int, int]]] = field(default_factory=dict, compare=False, repr=False)
+    cache: dict[bytes, np.ndarray] = field(default_factory=dict, compare=False, repr=False)
 
     def rank(self, a: bytes, b: bytes) -> int | None:
         return self.ids.get(a + b) if self.ranks is None else self.ranks.get((a, b))
@@ -46,13 +46,14 @@ class Vocabulary:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def encode(self, piece: bytes) -> list[tuple[int, int, int]]:
-        """(id, start, end) of the tokens of a pre-token."""
+    def encode(self, piece: bytes) -> np.ndarray:
+        """(tokens, 3): id, start, end of the tokens of a pre-token, offsets widened to whole characters."""
         found = self.cache.get(piece)
         if found is None:
             if len(self.cache) > CACHE_SIZE:
                 self.cache.clear()
-            found = self._merge(piece)
+            found = np.array(self._merge(piece), np.int32).reshape(-1, 3)
+            widen(piece, found)
             if len(piece) <= 256:
                 self.cache[piece] = found
         return found
@@ -119,29 +120,40 @@ def vocabulary_of(tokens: list[str], merges: list[str]) -> Vocabulary:
     return Vocabulary(ids, {(raw(a), raw(b)): r for r, (a, b) in enumerate(m.split(" ", 1) for m in merges)})
 
 
+def widen(raw: bytes, tokens: np.ndarray) -> None:
+    """Starts and ends within a character go to its edges."""
+    inner = np.append((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False)
+    inner[0] = False
+    if inner.any():
+        n = len(raw)
+        low = np.maximum.accumulate(np.where(inner, 0, np.arange(n + 1)))
+        high = n - np.maximum.accumulate(np.where(inner, 0, np.arange(n, -1, -1))[::-1])[::-1]
+        tokens[:, 1], tokens[:, 2] = low[tokens[:, 1]], high[tokens[:, 2]]
+
+
+def encode_texts(vocabulary: Vocabulary, texts: list[bytes | None], spans: Callable = byte_spans) -> tuple[np.ndarray, np.ndarray]:
+    """((tokens, 3) of id, start, end, where each text's end) of all texts; tokens may overlap in a character."""
+    parts, base, ends, torn, encode = [], [], [0], [], vocabulary.encode
+    total = 0
+    for i, raw in enumerate(texts):
+        for s, e in spans(raw) if raw else ():
+            if raw[s] & 0xC0 == 0x80:
+                torn.append(i)  # bytes that aren't UTF-8 may part within a character
+            found = encode(raw[s:e])
+            parts.append(found)
+            base.append(s)
+            total += len(found)
+        ends.append(total)
+    flat = np.concatenate(parts) if parts else np.zeros((0, 3), np.int32)
+    flat[:, 1:] += np.repeat(np.array(base, np.int32), [len(x) for x in parts])[:, None]
+    for i in set(torn):
+        widen(texts[i], flat[ends[i] : ends[i + 1]])
+    return flat, np.array(ends, np.int32)
+
+
 def encode_bytes(vocabulary: Vocabulary, raw: bytes, spans: Callable = byte_spans) -> list[tuple[int, int, int]]:
     """(id, start, end) of a text; offsets are widened to whole characters, so tokens may overlap in one."""
-    inner = lambda k: 0 < k < len(raw) and raw[k] & 0xC0 == 0x80
-    out = []
-    for s, e in spans(raw):
-        for i, a, b in vocabulary.encode(raw[s:e]):
-            a, b = s + a, s + b
-            while inner(a):
-                a -= 1
-            while inner(b):
-                b += 1
-            out.append((i, a, b))
-    return out
-
-
-def _tokens(rows: list[list[tuple[int, int, int]] | None]) -> pa.Array:
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    lengths = [0 if r is None else len(r) for r in rows]
-    flat = np.array([t for r in rows if r for t in r], np.int32).reshape(-1, 3)
-    values = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["id", "start", "end"])
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    none = [r is None for r in rows]
-    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(none) if any(none) else None).cast(kind)
+    return [tuple(t) for t in encode_texts(vocabulary, [raw], spans)[0].tolist()]
 
 
 def tokens(spark: SparkSession, text, vocabulary: Vocabulary) -> Column:
@@ -150,8 +162,9 @@ def tokens(spark: SparkSession, text, vocabulary: Vocabulary) -> Column:
 
     @F.arrow_udf(TOKENS)
     def run(column: pa.Array) -> pa.Array:
-        v = shared.value
-        return _tokens([None if x is None else encode_bytes(v, x) for x in column.to_pylist()])
+        flat, ends = encode_texts(shared.value, column.to_pylist())
+        values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)], ["id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=column.is_null() if column.null_count else None)
 
     return run(_col(text).cast("binary"))
 

@@ -9,7 +9,6 @@ emissions stay arrays, a row a token.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +61,105 @@ def viterbi(table: LabelTable, emit: np.ndarray) -> np.ndarray:
     return path
 
 
+def viterbi_many(table: LabelTable, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """``viterbi`` of each text, all texts of a run taking each step together."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    while order and len(texts[order[0]]):
+        longest = len(texts[order[0]])
+        run = [i for i in order[: max(1, CELLS // longest)] if len(texts[i])]
+        order = order[len(run) :]
+        if len(run) == 1:
+            out[run[0]] = viterbi(table, texts[run[0]])
+            continue
+        for i, path in zip(run, _viterbi_run(table, [texts[i] for i in run])):
+            out[i] = path
+        if order and not len(texts[order[0]]):
+            break
+    return out
+
+
+#: Tokens, counted with those that fill shorter texts up, that are decoded together.
+CELLS = 1 << 18
+
+
+def _viterbi_run(table: LabelTable, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Texts by falling length; at each step those that go on are the first ones."""
+    lengths = np.array([len(x) for x in texts])
+    classes = texts[0].shape[1]
+    emit = np.zeros((int(lengths[0]), len(texts), classes), np.float32)
+    for i, x in enumerate(texts):
+        emit[: len(x), i] = x
+    tag, cat = np.array(table.tag), np.array(table.category)
+    closed = np.flatnonzero((tag == O) | (tag == E) | (tag == S))
+    fresh = np.flatnonzero((tag == O) | (tag == B) | (tag == S))
+    cont = np.flatnonzero((tag == I) | (tag == E))
+    none = np.float32(-np.inf)
+    begin, inside = (np.array([x[c] for c in cat[cont]], np.int64) for x in (table.begin, table.inside))
+    score = np.full((len(texts), classes), none, np.float32)
+    score[:, fresh] = emit[0][:, fresh]
+    back = np.full(emit.shape, -1, np.int16)
+    for t in range(1, len(emit)):
+        k = int(np.searchsorted(-lengths, -t, side="left"))  # texts of more than t tokens
+        old = score[:k]
+        new = np.full((k, classes), none, np.float32)
+        if len(closed):
+            best = closed[old[:, closed].argmax(axis=1)]
+            top = old[np.arange(k), best]
+            ok = top > none
+            new[:, fresh] = np.where(ok[:, None], top[:, None] + emit[t, :k][:, fresh], none)
+            back[t, :k, fresh] = np.where(ok, best, -1)
+        if len(cont):
+            by_b = np.where(begin >= 0, old[:, begin], none)
+            by_i = np.where(inside >= 0, old[:, inside], none)
+            later = by_i > by_b
+            value = np.where(later, by_i, by_b)
+            ok = value > none
+            new[:, cont] = np.where(ok, value + emit[t, :k][:, cont], none)
+            back[t, :k, cont] = np.where(ok, np.where(later, inside, begin), -1).T
+        score[:k] = new
+    out = []
+    last = closed[score[:, closed].argmax(axis=1)] if len(closed) else np.full(len(texts), -1)
+    for i, n in enumerate(lengths.tolist()):
+        k = int(last[i])
+        if k < 0 or not score[i, k] > none:
+            out.append(emit[:n, i].argmax(axis=1))
+            continue
+        path = np.empty(n, np.int64)
+        steps = back[:n, i]
+        for t in range(n - 1, -1, -1):
+            path[t] = k
+            k = steps[t, k]
+        out.append(path)
+    return out
+
+
+def strict_spans(table: LabelTable, threshold: float):
+    """A maker of Arrow arrays of spans (SPAN_ARRAY) from the log-probabilities of texts."""
+
+    def of(texts: list[np.ndarray]) -> pa.Array:
+        found = [[x for x in assemble(table, path, emit) if x[3] >= np.float32(threshold)] for path, emit in zip(viterbi_many(table, texts), texts)]
+        flat = [x for spans in found for x in spans]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float32())
+        values = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate(kinds)], ["cat", "tok_begin", "tok_end", "score"])
+        return pa.ListArray.from_arrays(ends, values)
+
+    return of
+
+
+def best_classes(table: LabelTable):
+    """A maker of Arrow arrays of each token's best label, ties to the least class."""
+    names = pa.array(list(table.labels))
+
+    def of(texts: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int32)
+        best = np.concatenate([x.argmax(axis=1) for x in texts]) if texts else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(ends, names.take(pa.array(best)))
+
+    return of
+
+
 def assemble(table: LabelTable, path: np.ndarray, emit: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(category, first token, last token, mean probability) of a path's spans.
 
@@ -87,32 +185,50 @@ def assemble(table: LabelTable, path: np.ndarray, emit: np.ndarray) -> list[tupl
     return out
 
 
+def _gathered(emissions: DataFrame, id_col: str) -> DataFrame:
+    """A row a document with its tokens (tok_pos, logp) in order."""
+    pairs = F.struct(F.col("tok_pos").cast("int").alias("tok_pos"), F.col("logp").cast("array<float>").alias("logp"))
+    return emissions.groupBy(id_col).agg(F.array_sort(F.collect_list(pairs), lambda a, b: a["tok_pos"] - b["tok_pos"]).alias("_t"))
+
+
+def _emissions(column: pa.Array) -> list[np.ndarray]:
+    logp = column.flatten().field("logp")
+    flat = logp.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat.reshape(len(logp), -1), ends[:-1]) if len(column) else []
+
+
 def decode_strict(emissions: DataFrame, table: LabelTable, threshold: float = 0.0, id_col: str = "doc_id") -> DataFrame:
     """(id, spans) of each document of (id, tok_pos, logp); spans of a lower score than the threshold go.
 
-    One shuffle by document; a document's tokens are one task's work.
+    One shuffle by document, whose tokens are one task's work; many documents
+    are decoded together.  Rows of a null id are one document.
     """
-    kind = emissions.schema[id_col].dataType.simpleString()
+    kind, of = emissions.schema[id_col].dataType.simpleString(), strict_spans(table, threshold)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        emit = np.stack(rows.sort_values("tok_pos")["logp"].to_numpy()).astype(np.float32)
-        spans = [{"cat": c, "tok_begin": a, "tok_end": b, "score": p} for c, a, b, p in assemble(table, viterbi(table, emit), emit) if p >= np.float32(threshold)]
-        return pd.DataFrame({id_col: [rows[id_col].iloc[0]], "spans": [spans]})
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), of(_emissions(batch.column(1)))], [id_col, "spans"])
 
-    return emissions.select(id_col, "tok_pos", F.col("logp").cast("array<float>").alias("logp")).groupBy(id_col).applyInPandas(run, f"`{id_col}` {kind}, spans {SPAN_ARRAY}")
+    return _gathered(emissions, id_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPAN_ARRAY}")
 
 
 def paths_strict(emissions: DataFrame, table: LabelTable, id_col: str = "doc_id") -> DataFrame:
     """(id, tok_pos, class_id, prob): the path itself."""
     kind = emissions.schema[id_col].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tok_pos")
-        emit = np.stack(rows["logp"].to_numpy()).astype(np.float32)
-        path = viterbi(table, emit)
-        return pd.DataFrame({id_col: rows[id_col], "tok_pos": rows["tok_pos"].astype(np.int32), "class_id": path.astype(np.int32), "prob": np.exp(emit[np.arange(len(path)), path]).astype(np.float64)})
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, column = _emissions(batch.column(1)), batch.column(1)
+            path = viterbi_many(table, texts)
+            row = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+            prob = np.concatenate([np.exp(x[np.arange(len(p)), p]).astype(np.float64) for x, p in zip(texts, path)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), column.flatten().field("tok_pos"), pa.array(np.concatenate(path).astype(np.int32)), pa.array(prob)], [id_col, "tok_pos", "class_id", "prob"])
 
-    return emissions.select(id_col, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("logp").cast("array<float>").alias("logp")).groupBy(id_col).applyInPandas(run, f"`{id_col}` {kind}, tok_pos int, class_id int, prob double")
+    return _gathered(emissions, id_col).mapInArrow(run, f"`{id_col}` {kind}, tok_pos int, class_id int, prob double")
 
 
 def spans_of_paths(paths: DataFrame, id_col: str = "doc_id", pos_col: str = "tok_pos", tag_col: str = "tag", category_col: str = "category", prob_col: str = "prob") -> DataFrame:
@@ -157,16 +273,21 @@ def lenient_spans(labels: list[str], starts: list[int], ends: list[int]) -> list
     return out
 
 
-def decode_lenient(tokens: DataFrame, labels_col: str = "labels", starts_col: str = "starts", ends_col: str = "ends") -> DataFrame:
-    """``tokens`` (a row a document: labels, starts, ends) with spans (start, end, label) in place of the labels."""
+def lenient(labels, starts, ends):
+    """Array of (start, end, label) of a row's labels and token offsets; null gives null."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
     @F.arrow_udf("array<struct<start:int,end:int,label:string>>")
     def run(labels: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         rows = zip(labels.to_pylist(), starts.to_pylist(), ends.to_pylist())
-        return pa.array([None if x is None else [{"start": s, "end": e, "label": c} for s, e, c in lenient_spans(x, a, b)] for x, a, b in rows], kind)
+        return pa.array([None if x is None or a is None or b is None else [{"start": s, "end": e, "label": c} for s, e, c in lenient_spans(x, a, b)] for x, a, b in rows], kind)
 
-    return tokens.withColumn("spans", run(labels_col, starts_col, ends_col)).drop(labels_col, starts_col, ends_col)
+    return run(labels, starts, ends)
+
+
+def decode_lenient(tokens: DataFrame, labels_col: str = "labels", starts_col: str = "starts", ends_col: str = "ends") -> DataFrame:
+    """``tokens`` (a row a document: labels, starts, ends) with spans (start, end, label) in place of the labels."""
+    return tokens.withColumn("spans", lenient(labels_col, starts_col, ends_col)).drop(labels_col, starts_col, ends_col)
 
 
 def best_labels(emissions: DataFrame, table: LabelTable, id_col: str = "doc_id") -> DataFrame:

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 #: From so many tokens on, attention is worked out in blocks.
 BANDED_FROM = 2048
 MOE_CHUNK = 4096
+#: Tokens of texts that are held at once, where one text isn't longer.
+BATCH_TOKENS = 1 << 17
+#: Tokens of windows of one length that are worked out at once.
+STEP_TOKENS = 8192
 ALPHA, LIMIT = 1.702, 7.0
 
 
@@ -96,8 +100,8 @@ def yarn(c: Config) -> tuple[np.ndarray, float]:
 
 
 def rope(x: np.ndarray, frequencies: np.ndarray, scale: float) -> np.ndarray:
-    """(tokens, heads, dim) with each pair (2i, 2i+1) turned by its token's angle."""
-    angle = np.arange(len(x))[:, None] * frequencies
+    """(..., tokens, heads, dim) with each pair (2i, 2i+1) turned by its token's angle."""
+    angle = np.arange(x.shape[-3])[:, None] * frequencies
     cos, sin = ((f(angle) * scale).astype(np.float32)[:, None, :] for f in (np.cos, np.sin))
     out = np.empty_like(x)
     out[..., 0::2] = x[..., 0::2] * cos - x[..., 1::2] * sin
@@ -118,29 +122,28 @@ def _softmax_sink(score: np.ndarray, sink: np.ndarray) -> np.ndarray:
     return e / (e.sum(axis=-1, keepdims=True) + np.exp(sink - top))
 
 
+def _attend(q, k, v, sinks, seen: np.ndarray) -> np.ndarray:
+    """(..., queries, heads, dim): each query over the keys that it sees, key heads shared by groups of query heads."""
+    share = q.shape[-2] // k.shape[-2]
+    q, k, v = (np.swapaxes(x, -3, -2) for x in (q, np.repeat(k, share, axis=-2), np.repeat(v, share, axis=-2)))
+    score = q @ np.swapaxes(k, -1, -2) / math.sqrt(q.shape[-1])
+    score = np.where(seen, score, -np.inf)
+    return np.swapaxes(_softmax_sink(score, sinks[:, None, None]) @ v, -3, -2).astype(np.float32)
+
+
 def attention_full(q, k, v, sinks, radius: int) -> np.ndarray:
-    """(tokens, heads, dim) over the whole matrix of scores."""
-    n, heads, dim = q.shape
-    share = heads // k.shape[1]
-    k, v = np.repeat(k, share, axis=1), np.repeat(v, share, axis=1)
-    score = np.einsum("qhd,khd->hqk", q, k) / math.sqrt(dim)
-    score = np.where(band_mask(n, radius), score, -np.inf)
-    return np.einsum("hqk,khd->qhd", _softmax_sink(score, sinks[:, None, None]), v).astype(np.float32)
+    """(..., tokens, heads, dim) over the whole matrix of scores."""
+    return _attend(q, k, v, sinks, band_mask(q.shape[-3], radius))
 
 
 def attention_banded(q, k, v, sinks, radius: int, block: int | None = None) -> np.ndarray:
     """The same, in blocks of queries that see their own and the two next blocks of keys: memory grows with n, not n squared."""
-    n, heads, dim = q.shape
-    b = max(block or 2 * radius, radius, 1)
-    share = heads // k.shape[1]
+    n, b = q.shape[-3], max(block or 2 * radius, radius, 1)
     out = np.empty_like(q)
     for s in range(0, n, b):
         e, lo, hi = min(n, s + b), max(0, s - b), min(n, s + 2 * b)
-        kk, vv = np.repeat(k[lo:hi], share, axis=1), np.repeat(v[lo:hi], share, axis=1)
-        score = np.einsum("qhd,khd->hqk", q[s:e], kk) / math.sqrt(dim)
         near = np.abs(np.arange(s, e)[:, None] - np.arange(lo, hi)[None, :]) <= radius
-        score = np.where(near, score, -np.inf)
-        out[s:e] = np.einsum("hqk,khd->qhd", _softmax_sink(score, sinks[:, None, None]), vv)
+        out[..., s:e, :, :] = _attend(q[..., s:e, :, :], k[..., lo:hi, :, :], v[..., lo:hi, :, :], sinks, near)
     return out
 
 
@@ -175,22 +178,27 @@ def experts(x: np.ndarray, w: Callable[[str], np.ndarray], used: int, taps: dict
 
 
 def forward(c: Config, weights: dict[str, np.ndarray], ids: np.ndarray, taps: dict[str, np.ndarray] | None = None, banded: bool | None = None, moe_chunk: int = MOE_CHUNK, without: str = "") -> np.ndarray:
-    """(tokens, classes) logits; ``taps`` gathers what each step makes, ``without`` leaves out 'noattn' or 'nomoe'."""
-    n = len(ids)
+    """(tokens, classes) logits, or (windows, tokens, classes) of ids in two dimensions.
+
+    What concerns single tokens is one product over all windows.  ``taps``
+    gathers what each step makes, ``without`` leaves out 'noattn' or 'nomoe'.
+    """
+    ids = np.asarray(ids)
+    shape, n = ids.shape, ids.size
     if n == 0:
-        return np.zeros((0, c.classes), np.float32)
+        return np.zeros((*shape, c.classes), np.float32)
     frequencies, scale = yarn(c)
-    banded = n >= BANDED_FROM if banded is None else banded
+    banded = shape[-1] >= BANDED_FROM if banded is None else banded
     see = lambda name, x: taps.__setitem__(name, x) if taps is not None else None
     norm = lambda x, w: (x / np.sqrt((x * x).mean(axis=1, keepdims=True) + c.eps) * w).astype(np.float32)
-    x = weights["token_embd.weight"][np.asarray(ids)].astype(np.float32)
+    x = weights["token_embd.weight"][ids.ravel()].astype(np.float32)
     see("embd", x)
     for i in range(c.layers):
         w = lambda name, i=i: weights[f"blk.{i}.{name}"]
         h = norm(x, w("attn_norm.weight"))
         see(f"l{i}.attn_norm", h)
         if "noattn" not in without:
-            q, k, v = ((h @ w(f"attn_{z}.weight").T + w(f"attn_{z}.bias")).reshape(n, m, c.head_dim) for z, m in (("q", c.heads), ("k", c.kv_heads), ("v", c.kv_heads)))
+            q, k, v = ((h @ w(f"attn_{z}.weight").T + w(f"attn_{z}.bias")).reshape(*shape, m, c.head_dim) for z, m in (("q", c.heads), ("k", c.kv_heads), ("v", c.kv_heads)))
             q, k = rope(q, frequencies, scale), rope(k, frequencies, scale)
             see(f"l{i}.q_rope", q)
             see(f"l{i}.k_rope", k)
@@ -214,7 +222,48 @@ def forward(c: Config, weights: dict[str, np.ndarray], ids: np.ndarray, taps: di
     see("result_norm", x)
     logits = (x @ weights["cls.output.weight"].T + weights["cls.output.bias"]).astype(np.float32)
     see("logits", logits)
-    return logits
+    return logits.reshape(*shape, c.classes)
+
+
+def cut_windows(n: int, window: int, halo: int) -> list[tuple[int, int, int, int]]:
+    """(start, wlen, lo, hi) of the windows of n tokens, as ``operators.windows`` cuts them."""
+    if n <= window:
+        return [(0, n, 0, n)]
+    if window <= 2 * halo:
+        raise ValueError(f"{n} tokens need a window of more than {2 * halo}")
+    stride = window - 2 * halo
+    out = []
+    for start in range(0, n, stride):
+        wlen = min(window, n - start)
+        end = start + wlen >= n
+        out.append((start, wlen, halo if start else 0, wlen if end else wlen - halo))
+        if end:
+            break
+    return out
+
+
+def logits_of_texts(c: Config, weights: dict[str, np.ndarray], texts: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """(tokens, classes) of each array of ids, windows of one length worked out together, STEP_TOKENS at once."""
+    out = [np.zeros((len(x), c.classes), np.float32) for x in texts]
+    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i, x in enumerate(texts):
+        for start, wlen, lo, hi in cut_windows(len(x), window, c.halo) if len(x) else []:
+            by_length.setdefault(wlen, []).append((i, start, lo, hi))
+    for wlen, found in sorted(by_length.items()):
+        step = max(1, STEP_TOKENS // wlen)
+        for a in range(0, len(found), step):
+            some = found[a : a + step]
+            made = forward(c, weights, np.stack([texts[i][s : s + wlen] for i, s, _, _ in some]))
+            for (i, s, lo, hi), rows in zip(some, made):
+                out[i][s + lo : s + hi] = rows[lo:hi]
+    return out
+
+
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    """Log-probabilities of rows of logits, summed in double."""
+    x = x.astype(np.float64)
+    x = x - x.max(axis=-1, keepdims=True)
+    return (x - np.log(np.exp(x).sum(axis=-1, keepdims=True))).astype(np.float32)
 
 
 def logits_of_windows(windowed: DataFrame, config: Config, load: Callable[[], dict[str, np.ndarray]], ids_col: str = "win_ids", out_col: str = "rows") -> DataFrame:
@@ -226,11 +275,14 @@ def logits_of_windows(windowed: DataFrame, config: Config, load: Callable[[], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = load()
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            made = [[r for r in forward(config, weights, np.array(x, np.int64))] if x else [] for x in batch.column(at).to_pylist()]
-            yield batch.append_column(out_col, pa.array(made, pa.list_(pa.list_(pa.float32()))))
+            column = batch.column(batch.schema.get_field_index(ids_col))
+            texts = [np.asarray(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [], np.int64) for x in column]
+            made = logits_of_texts(config, weights, texts, max([1, *map(len, texts)]))
+            rows = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
+            flat = np.concatenate(made) if made else np.zeros((0, config.classes), np.float32)
+            inner = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, config.classes, dtype=np.int32), flat.ravel())
+            yield batch.append_column(out_col, pa.ListArray.from_arrays(rows, inner))
 
     from pyspark.sql import types as T
 
@@ -246,6 +298,33 @@ def emissions(tokens: DataFrame, config: Config, load: Callable[[], dict[str, np
     return stitch(done, out_col="logits").withColumn("logp", log_softmax("logits").cast("array<float>"))
 
 
+def with_emissions(docs: DataFrame, config: Config, load: Callable[[], dict[str, np.ndarray]], of: Callable[[list[np.ndarray]], pa.Array], out_col: str, out_type: str, tokens_col: str = "tokens", window: int = 4096) -> DataFrame:
+    """``docs`` with a column that ``of`` makes of the log-probabilities of each row's tokens; nothing is shuffled, and no row needs an id.
+
+    Null tokens give no rows of log-probabilities.  Texts are taken together
+    up to BATCH_TOKENS; a longer one is worked out window by window, and its
+    log-probabilities (four bytes a token and class) are held at once.
+    """
+    from pyspark.sql import types as T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = load()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(tokens_col))
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_TOKENS, side="right")) - 1)
+                part = batch.slice(a, b - a)
+                ids = part.column(batch.schema.get_field_index(tokens_col)).flatten().field("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = np.split(ids, (ends[a + 1 : b] - ends[a]))
+                yield part.append_column(out_col, of([log_softmax(x) for x in logits_of_texts(config, weights, texts, window)]))
+                a = b
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T._parse_datatype_string(out_type))])
+    return docs.mapInArrow(run, schema)
+
+
 def tap_rows(taps: dict[str, np.ndarray]) -> Iterator[tuple[str, int, list[float]]]:
     """(tap, row, values) of captured steps."""
     for name, x in taps.items():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.labels import LabelTable, label_table
 from spanloom.functions.offsets import to_chars
 from spanloom.operators import bpe, decode, post, redact
-from spanloom.operators.forward import Config, emissions
+from spanloom.operators.forward import Config, emissions, with_emissions
 from spanloom.operators.rules import RULES, rule_spans
 from spanloom.operators.windows import WINDOW
 
@@ -87,23 +87,31 @@ class Engine:
             spans = F.filter(rule_spans(text_col, self.rules), lambda s: s["score"] >= F.lit(limit).cast("float"))
             return docs.withColumn("entities", post.clean(text_col, spans).cast(ENTITIES))
         names = F.array(*map(F.lit, self.table.categories))
-        found = decode.decode_strict(self.logits(docs, id_col, text_col), self.table, limit, id_col)
-        named = F.transform("spans", lambda s: F.struct(F.element_at(names, s["cat"] + 1).alias("label"), s["tok_begin"].alias("tok_begin"), s["tok_end"].alias("tok_end"), s["score"].alias("score")))
-        both = self.tokenize(docs, text_col).join(found.select(id_col, named.alias("_spans")), id_col, "left")
-        spans = F.coalesce("_spans", F.array().cast("array<struct<label:string,tok_begin:int,tok_end:int,score:float>>"))
-        at = post.clean(text_col, post.from_tokens(spans, "tokens", text_col))
-        return both.withColumn("entities", F.when(F.col(text_col).isNotNull(), at.cast(ENTITIES))).select(*docs.columns, "entities")
+        found = self._emitted(docs, text_col, decode.strict_spans(self.table, limit), decode.SPAN_ARRAY)
+        named = F.transform(self.OUT, lambda s: F.struct(F.element_at(names, s["cat"] + 1).alias("label"), s["tok_begin"].alias("tok_begin"), s["tok_end"].alias("tok_end"), s["score"].alias("score")))
+        at = post.clean(text_col, post.from_tokens(named, self.TOKENS, text_col))
+        return found.withColumn("entities", F.when(F.col(text_col).isNotNull(), at.cast(ENTITIES))).select(*docs.drop("entities").columns, "entities")
+
+    #: Names of columns that live only within a plan.
+    TOKENS, OUT = "_sl_tokens", "_sl_out"
+
+    def _emitted(self, docs: DataFrame, text_col: str, of, kind: str) -> DataFrame:
+        """``docs`` with its tokens and what ``of`` makes of their log-probabilities, in the row: ids may repeat or be null."""
+        if self.vocabulary is None or self.load is None:
+            raise ValueError("the engine has no model")
+        laid = bpe.tokenize(docs, self.vocabulary, text_col, self.TOKENS)
+        return with_emissions(laid, self.config, self.load, of, self.OUT, kind, self.TOKENS, self.window)
 
     def classify_lenient(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with spans (start, end, label) in code points: each token's best class, the forgiving reading, targets, merging.
 
         No threshold applies.  A null text gives null.
         """
-        best = decode.best_labels(self.logits(docs, id_col, text_col), self.table, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("tok_pos", "label"))).alias("_t"))
-        both = self.tokenize(docs, text_col).join(best, id_col, "left")
-        laid = both.withColumns({"labels": F.transform("_t", lambda t: t["label"]), "starts": F.transform("tokens", lambda t: t["start"]), "ends": F.transform("tokens", lambda t: t["end"])})
-        found = decode.decode_lenient(laid).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,label:string>>")))
-        return found.withColumn("spans", F.when(F.col(text_col).isNotNull(), post.clean_lenient(text_col, to_chars(text_col, "spans")))).select(*docs.columns, "spans")
+        found = self._emitted(docs, text_col, decode.best_classes(self.table), "array<string>")
+        tokens = F.col(self.TOKENS)
+        laid = found.withColumns({self.OUT + "_s": F.transform(tokens, lambda t: t["start"]), self.OUT + "_e": F.transform(tokens, lambda t: t["end"])})
+        spans = decode.lenient(self.OUT, self.OUT + "_s", self.OUT + "_e")
+        return laid.withColumn("spans", F.when(F.col(text_col).isNotNull(), post.clean_lenient(text_col, to_chars(text_col, spans)))).select(*docs.drop("spans").columns, "spans")
 
     def redact(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: bool = False, replacement: str = "***", threshold: float | None = None) -> DataFrame:
         """``docs`` with entities and redacted: the text with each entity replaced, by its tag where ``labels``."""

@@ -83,6 +83,46 @@ def test_windowed_is_whole(spark):
     assert engine().redact(docs).filter("doc_id = 4 AND redacted IS NULL AND entities IS NULL").count() == 1
 
 
+def test_repeated_and_null_ids(spark):
+    """A row's spans are its own, whatever its id and whatever its columns are called."""
+    texts = ["The quick brown fox jumps over", "x", "", None, "The quick", "a longer text, to be cut into several windows by the engine"]
+    ids = ["a", "a", "a", "a", None, None]
+    docs = spark.createDataFrame([(i, t, 5, "e") for i, t in zip(ids, texts)], "doc_id string, text string, tokens int, entities string")
+    for window in (4096, 2 * C.halo + 5):
+        got = engine(window).classify(docs).collect()
+        assert list(got[0].asDict()) == ["doc_id", "text", "tokens", "entities"] and all((r.doc_id, r.tokens) in (("a", 5), (None, 5)) for r in got)
+        alone = {t: engine(window).classify(spark.createDataFrame([(1, t)], "doc_id int, text string")).first().entities for t in texts}
+        rounded = lambda e: None if e is None else [(x.start, x.end, x.label, round(x.score, 3)) for x in e]
+        assert sorted(((r.text, rounded(r.entities)) for r in got), key=str) == sorted(((t, rounded(alone[t])) for t in texts), key=str)
+        assert engine(window).redact(docs).count() == 6 and engine(window).classify_lenient(docs).filter("spans IS NULL").count() == 1
+    assert engine().classify(docs.limit(0)).collect() == []
+
+
+def test_windows_in_memory_are_those_of_sql(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators.windows import windows
+
+    for n in (1, 9, 10, 11, 25, 26, 27, 100):
+        got = spark.range(1).select(windows(F.lit(n), 10, 3).alias("w")).first().w
+        assert [tuple(w) for w in got] == forward.cut_windows(n, 10, 3)
+    with pytest.raises(ValueError):
+        forward.cut_windows(11, 10, 5)
+
+
+def test_many_paths_are_single_paths():
+    from spanloom.functions.labels import label_table
+    from spanloom.operators import decode
+
+    rng = np.random.default_rng(2)
+    for labels in (LABELS, ["O"], [x for x in LABELS if x != "O"], ["O", "B-X", "I-X"], ["B-X", "I-X"]):
+        table = label_table(labels)
+        texts = [np.round(rng.normal(size=(n, len(labels))), 1).astype(np.float32) for n in (0, 1, 7, 3, 0, 40, 3, 1)]
+        texts[2][1:3] = -np.inf
+        got = decode.viterbi_many(table, texts)
+        assert all(np.array_equal(a, decode.viterbi(table, x)) for a, x in zip(got, texts))
+
+
 def test_lenient_mode(spark):
     docs = spark.createDataFrame([(1, "Ana né Bo, 12"), (2, ""), (3, None)], "doc_id int, text string")
     got = {r.doc_id: r.spans for r in engine().classify_lenient(docs).collect()}
