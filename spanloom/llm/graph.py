@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.store import discard, materialise
+from spanloom.llm.store import by_size, discard, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -39,3 +40,43 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if old[0]:
             raise RuntimeError("components did not settle")
     return e.selectExpr("a AS node", "b AS root").union(e.selectExpr("b AS node", "b AS root").distinct())
+
+
+def linked(found: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, links, least) of each class that isn't alone: the other documents that each of its documents is linked to, and the least id of its group.
+
+    ``found`` are (c, links, root): links found for a class at one place, and
+    some class that they connect it with; ``nodes`` are the distinct (id, c),
+    ``classes`` (c, first, copies) each class's least id and number of ids.
+    An id of several classes connects them.
+    """
+    found = materialise(found, "links")
+    twice = nodes.groupBy("id").agg(F.min("c").alias("b"), F.count("*").alias("many")).filter("many > 1")
+    joint = nodes.join(twice, "id").filter("c <> b").select(F.col("c").alias("a"), "b")
+    groups = components(found.selectExpr("c AS a", "root AS b").unionByName(joint)).withColumnRenamed("node", "c").join(classes.select("c", "first"), "c")
+    least = groups.groupBy("root").agg(F.min("first").alias("least"))
+    links = found.groupBy("c").agg(F.sum("links").alias("links"))
+    out = groups.join(least, "root").select("c", "least").join(links, "c", "left").join(classes.filter("copies > 1"), "c", "full")
+    out = materialise(out.selectExpr("c", "coalesce(links, 0) + coalesce(copies - 1, 0) AS links", "coalesce(least, first) AS least"), "linked")
+    discard(found)
+    return out
+
+
+def by_document(linked: DataFrame, nodes: DataFrame, bare: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) of every node; ``bare`` are the ids of rows that have no class, which are linked to nothing."""
+    out = nodes.join(by_size(linked, linked.count()), "c", "left").selectExpr("id", "coalesce(least, id) AS class_id", "coalesce(links, 0) AS n_links")
+    own = bare.distinct().join(out.groupBy("id").agg(F.min("class_id").alias("least")), "id", "left").selectExpr("id", "coalesce(least, id) AS class_id", "0L AS n_links")
+    return out.unionByName(own)
+
+
+def least_rows(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's group under links (a, b), in memory."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(root, old):
+            return root

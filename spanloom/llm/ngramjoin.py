@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesops as B
-from spanloom.llm.graph import components
+from spanloom.llm.graph import by_document, least_rows, linked
 from spanloom.llm.store import by_size, discard, materialise
 
 N, THRESHOLD = 3, 0.5
@@ -498,19 +498,6 @@ def _meetings(threshold, small):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row of each row's group under links (a, b)."""
-    root = np.arange(n)
-    while True:
-        old = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if np.array_equal(root, old):
-            return root
-
-
 def _join_cells(threshold, width, listed):
     """Of each cell the links; or, where pairs aren't ``listed``, how many documents each class is linked to here, and the least class of those connected."""
     names = ["a", "b", "overlap", "jaccard"] if listed else ["c", "links", "root"]
@@ -539,7 +526,7 @@ def _join_cells(threshold, width, listed):
             else:
                 links = np.bincount(x, copies[y], len(c)) + np.bincount(y, copies[x], len(c))
                 has = np.flatnonzero(links)
-                out = [pa.array(c[has]), pa.array(links[has].astype(np.int64)), pa.array(c[_roots(len(c), x, y)[has]])]
+                out = [pa.array(c[has]), pa.array(links[has].astype(np.int64)), pa.array(c[least_rows(len(c), x, y)[has]])]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
@@ -594,19 +581,8 @@ class Join:
 
     def linked(self) -> DataFrame:
         """(c, links, least): of each class that isn't alone the number of other documents that any document of it is linked to, and the least id of its group."""
-        found = materialise(self._joined(False, "c long, links long, root long"), "links")
-        # a repeated id connects its texts
-        twice = self.nodes.groupBy("id").agg(F.min("c").alias("b"), F.count("*").alias("many")).filter("many > 1")
-        joint = self.nodes.join(twice, "id").filter("c <> b").select(F.col("c").alias("a"), "b")
-        edges = found.selectExpr("c AS a", "root AS b").unionByName(joint)
-        groups = components(edges).withColumnRenamed("node", "c").join(self.classes.select("c", "first"), "c")
-        least = groups.groupBy("root").agg(F.min("first").alias("least"))
-        links = found.groupBy("c").agg(F.sum("links").alias("links"))
-        several = self.classes.filter("copies > 1")
-        out = groups.join(least, "root").select("c", "least").join(links, "c", "left")
-        out = out.join(several.select("c", "first", "copies"), "c", "full")
-        out = materialise(out.selectExpr("c", "coalesce(links, 0) + coalesce(copies - 1, 0) AS links", "coalesce(least, first) AS least"), "linked")
-        discard(found, self.left_all, self.cells)
+        out = linked(self._joined(False, "c long, links long, root long"), self.nodes, self.classes)
+        discard(self.left_all, self.cells)
         return out
 
 
@@ -624,12 +600,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     aren't read.  An empty table gives an empty result.
     """
     join = Join(docs, id_col, text_col, n, threshold)
-    linked = join.linked()
-    nodes = join.nodes.join(by_size(linked, linked.count()), "c", "left").selectExpr("id", "coalesce(least, id) AS class_id", "coalesce(links, 0) AS n_links")
-    # texts without a word have no set; where the id has others too, they are of its class
-    bare = join.signed.filter("id IS NOT NULL AND c IS NULL").select("id").distinct()
-    own = bare.join(nodes.groupBy("id").agg(F.min("class_id").alias("least")), "id", "left").selectExpr("id", "coalesce(least, id) AS class_id", "0L AS n_links")
-    return nodes.unionByName(own).withColumnRenamed("id", id_col)
+    bare = join.signed.filter("id IS NOT NULL AND c IS NULL").select("id")
+    return by_document(join.linked(), join.nodes, bare).withColumnRenamed("id", id_col)
 
 
 def ngram_jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -651,7 +623,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     table stays empty.
     """
     join = Join(docs, id_col, text_col, n, threshold)
-    linked = join.linked()
-    gone = join.nodes.join(by_size(linked, linked.count()), "c").filter("id <> least").select(F.col("id").alias(id_col)).distinct()
+    groups = join.linked()
+    gone = join.nodes.join(by_size(groups, groups.count()), "c").filter("id <> least").select(F.col("id").alias(id_col)).distinct()
     gone = materialise(gone, "gone")
     return docs.join(by_size(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
