@@ -24,8 +24,8 @@ from spanloom.llm.store import materialise
 from spanloom.llm.tokencount import DEFAULT_RANKS, count_tokens
 
 CAPACITY = 2048
-#: Pieces of one length are numbered in so many hash buckets, so that a common length is no single task.
-BUCKETS = 64
+#: Pieces of one length are numbered in hash buckets of about so many rows, so that a common length is no single task.
+BUCKET_ROWS = 50_000
 
 
 class CapacityTree:
@@ -119,37 +119,55 @@ def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*cols, windows, max([1, *counts.values()]) + 1)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, ranks_path: str = DEFAULT_RANKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(window_id, window_offset, id, token_start, n_tokens) of every piece of every document.
 
     Token counts are those of the tokenizer, or of ``tokens_col`` where given.
     A document of n tokens gives n // capacity full pieces and one of what
     remains; one without tokens, or of a null text, gives none.  Pieces of one
-    length are taken by id, then token_start.  Repeated rows are packed each;
-    a null id is kept.  Other columns aren't read.  An empty table gives an
-    empty result.
+    length are alike; which of them goes to which window is decided by their
+    ids' hashes, then ids.  Repeated rows are packed each; a null id is kept.
+    Other columns aren't read.  An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     counted = docs.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("n")) if tokens_col else count_tokens(docs, id_col, text_col, ranks_path).toDF("id", "n")
-    sized = materialise(counted.filter("n > 0"), "sizes")
-    pieces = sized.selectExpr("id", f"explode(sequence(0L, n - 1, {capacity}L)) AS token_start", "n").selectExpr("id", "token_start", f"CAST(least(n - token_start, {capacity}) AS BIGINT) AS length", f"CAST(pmod(xxhash64(id, token_start), {BUCKETS}) AS INT) AS bucket")
-    found = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "bucket"])
-    length, bucket, n = (found[c].to_numpy().astype(np.int64) for c in ("length", "bucket", "n"))
-    counts = dict(zip(*(x.tolist() for x in (np.unique(length), np.bincount(np.unique(length, return_inverse=True)[1], n).astype(np.int64))))) if len(n) else {}
-    before = np.zeros((capacity + 1) * BUCKETS, np.int64)
-    if len(n):
+    # rows of one id and size are one row with their number, so that no id is a task's undoing
+    sized = materialise(counted.filter("n > 0").groupBy("id", "n").agg(F.count("*").alias("rows")), "sizes")
+    # all full pieces of a document are one row, as their windows follow each other
+    full = sized.filter(f"n >= {capacity}").selectExpr("id", "n", "rows", "0L AS token_start", f"{capacity}L AS length", f"n DIV {capacity} AS each")
+    rest = sized.filter(f"n % {capacity} > 0").selectExpr("id", "n", "rows", f"n - n % {capacity} AS token_start", f"n % {capacity} AS length", "1L AS each")
+    pieces = full.unionByName(rest)
+    lengths = pieces.groupBy("length").agg(F.sum(F.col("each") * F.col("rows")).cast("long").alias("pieces"), F.count("*").alias("rows")).toPandas().astype(np.int64)
+    buckets = np.ones(capacity + 1, np.int64)
+    buckets[lengths.length] = -(-lengths.rows // bucket_rows)
+    numbered = pieces.withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(id, n), element_at(array({', '.join(map(str, buckets[1:].tolist()))}), CAST(length AS INT))) AS INT)")) if buckets.max() > 1 else pieces.withColumn("bucket", F.lit(0))
+    found = numbered.groupBy("length", "bucket").agg(F.sum(F.col("each") * F.col("rows")).cast("long").alias("n")).toPandas().astype(np.int64).sort_values(["length", "bucket"])
+    first = np.cumsum(buckets) - buckets  # a bucket's place among those of all lengths
+    before = np.zeros(int(buckets.sum()), np.int64)
+    if len(found):
+        length, bucket, n = (found[c].to_numpy() for c in ("length", "bucket", "n"))
         total = np.cumsum(n) - n
-        start = {k: t for k, t in zip(length.tolist()[::-1], total.tolist()[::-1])}
-        before[length * BUCKETS + bucket] = total - np.array([start[k] for k in length.tolist()])
-    shared = docs.sparkSession.sparkContext.broadcast((plan_windows(counts, capacity), before))
+        start = np.searchsorted(length, length)
+        before[first[length] + bucket] = total - total[start]
+    shared = docs.sparkSession.sparkContext.broadcast((plan_windows(dict(zip(lengths.length.tolist(), lengths.pieces.tolist())), capacity), first, before))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, before = shared.value
+        plan, first, before = shared.value
         for batch in batches:
-            ids, start, size, bucket, rank = batch.columns
-            k = size.to_numpy()
-            window, offset = plan.place(k, before[k * BUCKETS + bucket.to_numpy()] + rank.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(offset), ids, start, size], ["window_id", "window_offset", id_col, "token_start", "n_tokens"])
-
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "token_start")) - 1
-    return pieces.select("id", "token_start", "length", "bucket", rank.cast("long").alias("rank")).mapInArrow(assign, f"window_id long, window_offset long, `{id_col}` {kind}, token_start long, n_tokens long")
+            start, size, each, rows, bucket, rank = (c.to_numpy() for c in batch.columns[1:])
+            many = each * rows
+            begin = before[first[size] + bucket] + rank
+            # some rows stand for very many pieces, so rows are cut to runs of bounded size
+            done = 0
+            ends = np.cumsum(many)
+            while done < (ends[-1] if len(ends) else 0):
+                stop = min(done + (1 << 16), int(ends[-1]))
+                at = np.arange(done, stop)
+                row = np.searchsorted(ends, at, side="right")
+                past = at - (ends[row] - many[row])
+                window, offset = plan.place(size[row], begin[row] + past)
+                yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(offset), batch.column(0).take(pa.array(row)), pa.array(start[row] + past % each[row] * size[row]), pa.array(size[row])], ["window_id", "window_offset", id_col, "token_start", "n_tokens"])
+                done = stop
+
+    rank = F.coalesce(F.sum(F.col("each") * F.col("rows")).over(Window.partitionBy("length", "bucket").orderBy("id", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.select("id", "token_start", "length", "each", "rows", "bucket", rank.cast("long").alias("rank")).mapInArrow(assign, f"window_id long, window_offset long, `{id_col}` {kind}, token_start long, n_tokens long")
