@@ -29,6 +29,8 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TABLE_SIZE = 1 << 16
 #: Pre-tokens that a task's summary may hold.
 SUMMARY_SIZE = 1 << 14
+#: Summaries that are merged at once.
+MERGED = 16
 #: Pre-tokens that a worker's cache may hold before it is emptied.
 CACHE_SIZE = 1 << 20
 KEY_BYTES = 16
@@ -219,15 +221,45 @@ def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best = np.argpartition(-count, 4 * SUMMARY_SIZE)[: 4 * SUMMARY_SIZE]
                 new = tuple(x[best] for x in new)
             have = _top(*(np.concatenate([a, b]) for a, b in zip(have, new)), 4 * SUMMARY_SIZE)
-    lo, hi, size, count = _top(*have, SUMMARY_SIZE)
-    yield pa.RecordBatch.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(size), pa.array(count)], ["lo", "hi", "size", "n"])
+    yield _summary(*_top(*have, SUMMARY_SIZE))
+
+
+def _summary(lo, hi, size, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.stack([lo, hi, size.astype(np.uint64), count.astype(np.uint64)]).tobytes()], pa.binary())], ["summary"])
+
+
+def merged(most: int):
+    """Summaries of several tasks as one, of ``most`` pre-tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = None
+        for batch in batches:
+            for blob in batch.column(0):
+                lo, hi, size, count = np.frombuffer(blob.as_buffer(), np.uint64).reshape(4, -1)
+                new = (lo, hi, size.astype(np.int64), count.astype(np.int64))
+                have = new if have is None else _top(*(np.concatenate([a, b]) for a, b in zip(have, new)), most)
+        if have is not None:
+            yield _summary(*have)
+
+    return run
 
 
 def frequent_table(docs: DataFrame, text_col: str = "text", ranks_path: str = DEFAULT_RANKS, table_size: int = TABLE_SIZE) -> PieceTable:
-    """Tier one for this corpus.  Which keys it holds changes the speed, never a count."""
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(summaries, "lo long, hi long, size long, n long").groupBy("lo", "hi", "size").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "lo", "hi", "size").limit(table_size).toPandas()
-    lo, hi, size = rows.lo.to_numpy().view(np.uint64), rows.hi.to_numpy().view(np.uint64), rows["size"].to_numpy()
+    """Tier one for this corpus.  Which keys it holds changes the speed, never a count.
+
+    Summaries are merged MERGED at a time until so few are left; each is one
+    value of bounded size, and no pre-token is a key of any shuffle.
+    """
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(summaries, "summary binary")
+    tasks = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        found = found.repartition(tasks).mapInArrow(merged(4 * table_size), "summary binary")
+    lo, hi, size, count = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for row in found.toLocalIterator():
+        new = np.frombuffer(row.summary, np.uint64).reshape(4, -1)
+        lo, hi, size, count = _top(*(np.concatenate([a, b.astype(a.dtype)]) for a, b in zip((lo, hi, size, count), new)), 4 * table_size)
+    lo, hi, size, count = _top(lo, hi, size, count, table_size)
     enc, tokens = encoder(ranks_path), np.zeros(len(lo), np.int64)
     raw = np.stack([lo, hi], axis=1).astype("<u8").tobytes()
     for i, k in enumerate(size.tolist()):
