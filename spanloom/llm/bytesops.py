@@ -45,6 +45,29 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         i = j
 
 
+def segments(raw: np.ndarray, limit: int, back: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit`` bytes of one long text that end between words; each begins ``back`` words before the end of the one before it."""
+    start, end, n = 0, 0, len(raw)
+    while end < n:
+        end = min(n, end + limit)
+        while end < n:  # to the end of the word, however long
+            gap = np.flatnonzero(~WORD_BYTE[raw[end : end + 4096]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(n, end + 4096)
+        yield start, end
+        look = 4096
+        while end < n:
+            a = max(0, end - look)
+            w = WORD_BYTE[raw[a:end]]
+            begins = np.flatnonzero(w & ~np.concatenate([[a > 0], w[:-1]]))
+            if len(begins) >= back or a == 0:
+                start = a + int(begins[-back]) if len(begins) >= back else 0
+                break
+            look *= 2
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))

@@ -27,8 +27,8 @@ FEATURES_BITS = 14
 #: At most so many documents of a language are fetched to train on; so many of them are landmarks.
 SAMPLE, LANDMARKS = 400, 40
 RIDGE = 0.1
-#: Documents whose presence rows are held at once.
-ROWS = 128
+#: Documents whose presence rows are held at once, and bytes that are hashed at once.
+ROWS, STEP = 128, 1 << 20
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -38,14 +38,15 @@ def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     docs, n = len(offsets) - 1, len(raw)
     out = np.zeros(docs << FEATURES_BITS, np.uint8)
     if n:
-        view = B.words_at(B.padded(raw))[:n]
-        base = np.repeat(np.arange(docs) << FEATURES_BITS, np.diff(offsets))
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-        shift = np.uint64(64 - FEATURES_BITS)
-        for size, mul in zip(SPECTRUM, _MUL):
-            h = ((view & B._LOW[size]) * mul + mul) * _MUL[0] >> shift
-            at = base + h.astype(np.int64)
-            out[at if size == 1 else at[left >= size]] = 1
+        view, shift = B.words_at(B.padded(raw))[:n], np.uint64(64 - FEATURES_BITS)
+        for a in range(0, n, STEP):  # a long text is gone through in steps
+            place = np.arange(a, min(n, a + STEP))
+            doc = np.searchsorted(offsets, place, side="right") - 1
+            base, left = doc << FEATURES_BITS, offsets[doc + 1] - place
+            for size, mul in zip(SPECTRUM, _MUL):
+                h = ((view[a : a + STEP] & B._LOW[size]) * mul + mul) * _MUL[0] >> shift
+                at = base + h.astype(np.int64)
+                out[at if size == 1 else at[left >= size]] = 1
     return out.reshape(docs, -1)
 
 

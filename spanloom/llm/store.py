@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch that a worker is given at once; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of bounded bytes, whatever the length of texts; a lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, a new local one.
 

@@ -213,48 +213,62 @@ def test_audio_of_odd_rows(spark):
     assert queries.op5_telephony_audio(spark, SF).filter("n_samples * 2 = length(pcm)").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-def brute_near(ids, x, eps):
-    out = Counter()
-    for a in range(len(ids)):
-        for b in range(a + 1, len(ids)):
-            d = float(np.sqrt(((x[a] - x[b]) ** 2).sum()))
-            if ids[a] != ids[b] and d <= eps:
-                out[min(ids[a], ids[b]), max(ids[a], ids[b])] += 1
-    return out
+def brute_near(rows, eps):
+    """(id, least id of the group, links) of each distinct pair of an id and a vector."""
+    good = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v)
+    nodes = sorted({(i, tuple(v) if good(v) else None) for i, v in rows if i is not None}, key=str)
+    near = [[y for y, (_, w) in enumerate(nodes) if x != y and v and w and len(v) == len(w) and math.dist(v, w) <= eps] for x, (_, v) in enumerate(nodes)]
+    root = [i for i, _ in nodes]
+    edges = [(x, y) for x, ys in enumerate(near) for y in ys] + [(x, y) for x in range(len(nodes)) for y in range(x) if nodes[x][0] == nodes[y][0]]
+    for _ in nodes:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    return Counter((i, root[x], len(near[x])) for x, (i, _) in enumerate(nodes))
 
 
-@pytest.mark.parametrize("range_rows", [8192, 40])
-def test_near_vectors_are_all_found(spark, range_rows):
+def near(df, *a, **kw):
+    return Counter(tuple(r) for r in gridjoin.embedding_near_join(df, *a, **kw).collect())
+
+
+@pytest.mark.parametrize("range_rows, fan", [(8192, 32), (20, 2)])
+def test_near_vectors_are_all_found(spark, range_rows, fan):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 12)) * 0.3
     x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:20]])
     ids = [int(i) for i in rng.permutation(len(x))]
     ids[5] = ids[6]
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
-    got = Counter((r.vec_a, r.vec_b) for r in gridjoin.embedding_near_pairs(df, 0.25, range_rows=range_rows).collect())
-    assert got == brute_near(ids, x, 0.25) and len(got) > 60
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_near(rows, 0.25)
+    assert near(df, 0.25, range_rows=range_rows, fan=fan) == want and sum(n for *_, n in want.elements()) > 120
+    members, pairs = gridjoin.embedding_near_pairs(df, 0.25, range_rows=range_rows, fan=fan)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.c, []).append(r.vec_id)
+    links = sum(2 * len(of[r.a]) * len(of[r.b]) for r in pairs.collect()) + sum(len(m) * (len(m) - 1) for m in of.values())
+    assert links == sum(n for *_, n in want.elements())
 
 
-def test_near_vectors_query(spark):
-    assert_same(spark, queries.op6_embedding_near_pairs, queries.ORACLE_SQL["op6_embedding_near_pairs"])
-    wide = lambda s, d: gridjoin.embedding_near_pairs(s.read.parquet(f"{d}/embeddings.parquet"), 6.0)
-    want = connect().execute("SELECT count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 6").fetchone()[0]
-    assert wide(spark, SF).count() == want > 0
+@pytest.mark.parametrize("name", ["op6_embedding_near_pairs", "op6_embedding_near_wide"])
+def test_near_vectors_query(spark, name):
+    assert_same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF.replace("0.001", "0.01"))
+    if name.endswith("wide"):
+        assert queries.QUERIES[name](spark, SF.replace("0.001", "0.01")).filter("n_links > 0").count() > 50
 
 
 def test_vectors_of_odd_rows(spark):
     nan = float("nan")
-    rows = [(1, [0.0, 0.0], 1), (2, [0.0, 0.0], 1), (2, [0.0, 0.1], 1), (3, None, 1), (4, [], 1), (5, [0.0], 1), (6, [nan, 0.0], 1), (7, [None, 0.0], 1), (None, [0.0, 0.0], 1), (8, [float("inf"), 0.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int")
-    got = sorted((r.vec_a, r.vec_b, round(r.distance, 3)) for r in gridjoin.embedding_near_pairs(df).collect())
-    assert got == [(1, 2, 0.0), (1, 2, 0.1)]
-    assert gridjoin.embedding_near_pairs(df.limit(0)).collect() == [] and gridjoin.embedding_near_pairs(df.filter("vec_id = 3")).collect() == []
+    rows = [(1, [0.0, 0.0]), (2, [-0.0, 0.0]), (2, [0.0, 0.1]), (2, [0.0, 0.1]), (3, None), (4, []), (5, [0.0]), (6, [nan, 0.0]), (7, [None, 0.0]), (7, [9.0, 9.0]), (None, [0.0, 0.0]), (8, [float("inf"), 0.0]), (9, [5.0, 5.0]), (11, [5.25, 5.0])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, part int, c string")
+    got = near(df)
+    assert got == Counter({(1, 1, 2): 1, (2, 1, 2): 2, (3, 3, 0): 1, (4, 4, 0): 1, (5, 5, 0): 1, (6, 6, 0): 1, (7, 7, 0): 2, (8, 8, 0): 1, (9, 9, 1): 1, (11, 9, 1): 1})
+    assert near(df.limit(0)) == Counter() and near(df.filter("vec_id = 3")) == Counter({(3, 3, 0): 1})
 
 
 def test_a_longer_vector_removes_no_pairs(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.1]), (3, [0.0, 0.0, 0.0]), (4, [5.0]), (5, [5.1]), (6, [9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted((r.vec_a, r.vec_b) for r in gridjoin.embedding_near_pairs(df).collect()) == [(1, 2), (4, 5)]
+    assert near(df) == brute_near(rows, 0.25)
 
 
 def brute_best_fit(lengths, capacity):
@@ -287,15 +301,16 @@ def test_plan_is_best_fit_decreasing(seed):
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
 
 
-def test_packing_places_every_token_once(spark):
-    rows = [(1, 5), (1, 5), (2, 23), (3, 0), (4, None), (None, 7), (5, 10), (6, 10), (7, 3), (8, 20)]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, n long, text string, length int")
-    got = packing.pack(df, capacity=10, tokens_col="n").collect()
+@pytest.mark.parametrize("bucket_rows", [1, 2, 50_000])
+def test_packing_places_every_token_once(spark, bucket_rows):
+    rows = [(1, 5), (1, 5), (2, 23), (3, 0), (4, None), (None, 7), (5, 10), (6, 10), (7, 3), (8, 20), (8, 20), (8, 21), (9, 3)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, n long, text string, length int, rows int")
+    got = packing.pack(df, capacity=10, tokens_col="n", bucket_rows=bucket_rows).collect()
     assert Counter((r.doc_id, r.token_start, r.n_tokens) for r in got) == Counter((i, s, min(10, n - s)) for i, n in rows for s in range(0, n or 0, 10))
     pieces = [min(10, n - s) for _, n in rows for s in range(0, n or 0, 10)]
     assert max(r.window_id for r in got) + 1 == sum(brute_best_fit(pieces, 10).values())
     at = sorted((r.window_id, r.window_offset, r.n_tokens) for r in got)
-    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(at, at[1:]))
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(at, at[1:])) and len({x[:2] for x in at}) == len(at)
     assert packing.pack(df.limit(0), tokens_col="n").collect() == [] and packing.pack(df.limit(0)).collect() == []
 
 
@@ -322,14 +337,15 @@ def brute_mix(rows, schedules, run):
     return out
 
 
-def test_mixing_against_stepping(spark):
+@pytest.mark.parametrize("bucket_tokens", [7, 1 << 22])
+def test_mixing_against_stepping(spark, bucket_tokens):
     import hashlib
 
     rng = np.random.default_rng(8)
     rows = [(i, ["a", "b", None][int(rng.integers(3))], int(rng.integers(1, 60))) for i in range(150)]
     df = spark.createDataFrame([(i, "x" * (4 * n), s, 0.5) for i, s, n in rows], "doc_id long, text string, source string, position double")
     schedules = {"a": [(0.0, 0.7), (0.4, 0.2), (1.0, 0.5)], "b": [(0.0, 0.2), (1.0, 0.4)], "": [(0.0, 0.1), (0.4, 0.5), (1.0, 0.1)]}
-    got = sorted((r.doc_id, r.epoch, r.position) for r in mixing.mix_sources(df, schedules, run_tokens=6000).collect())
+    got = sorted((r.doc_id, r.epoch, r.position) for r in mixing.mix_sources(df, schedules, run_tokens=6000, bucket_tokens=bucket_tokens).collect())
     want = sorted(brute_mix([(i, s, n, hashlib.md5(str(i).encode()).hexdigest()) for i, s, n in rows], schedules, 6000))
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-3)
 
@@ -363,8 +379,8 @@ def test_mixing_by_counted_tokens(spark):
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "aaaa" * 9, "s", 1), (1, "aaaa" * 9, "s", 1), (None, "bbbb", None, 1), (2, None, "s", 1), (3, "", "s", 1), (4, "c" * 100_000, "t", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int")
-    got = mixing.mix_sources(df)
-    assert got.columns == ["doc_id", "text", "source", "position", "epoch"] and got.filter("doc_id = 4").count() >= 1
+    got = mixing.mix_sources(df.withColumns({k: df.doc_id for k in ("_s", "_b", "_row", "_n", "_o", "_digits", "a.b")}))
+    assert got.columns == ["doc_id", "text", "source", "_s", "_b", "_row", "_n", "_o", "_digits", "a.b", "position", "epoch"] and got.filter("doc_id = 4").count() >= 1
     assert mixing.mix_sources(df.limit(0)).collect() == [] and mixing.mix_sources(df.filter("text IS NULL OR text = ''")).collect() == []
 
 
@@ -392,9 +408,14 @@ def test_pipeline_stages(spark):
             want, last = want + texts[i][last:s] + f"[{k}]", e
         assert t == want + texts[i][last:] and n == len(t)
     con = connect()
-    con.register("kept", kept[2])
-    mixed = con.execute(queries.ORACLE_SQL["op10_mixing"].replace("FROM documents", "FROM kept")).df()
+    counted = tokencount.count_tokens(spark.createDataFrame(kept[2], docs.schema)).toPandas()
+    con.register("kept", kept[2].merge(counted, on="doc_id"))
+    own = "CAST(ceil(strlen(text) / 4.0) AS BIGINT)"
+    sql = queries.ORACLE_SQL["op10_mixing"]
+    assert own in sql
+    mixed = con.execute(sql.replace(own, "n_tokens").replace("FROM documents", "FROM kept")).df()
     assert Counter(kept[3].doc_id) == Counter(mixed.doc_id) and list(kept[3].columns) == list(docs.columns)
+    assert kept[3].doc_id.tolist() == mixed.sort_values(["position", "epoch", "doc_id"]).doc_id.tolist()
     frame = spark.createDataFrame(kept[3], docs.schema)
     sizes = [r.n_tokens for r in tokencount.count_tokens(frame).collect()]
     pieces = [min(packing.CAPACITY, n - s) for n in sizes for s in range(0, n, packing.CAPACITY)]

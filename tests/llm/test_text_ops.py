@@ -1,6 +1,7 @@
 """Token counts, language, private data, toxicity, chat formatting."""
 
 import base64
+import dataclasses
 import re
 
 import numpy as np
@@ -79,6 +80,16 @@ def test_language_scores_are_the_kernel_machine():
     assert np.allclose(m.scores(*B.text_buffers(pa.array([test]))[:2])[0], want, atol=1e-3)
 
 
+def test_language_ties_and_long_texts(monkeypatch):
+    same = langid.fit(["abcd", "abcd"], ["xx", "aa"], landmarks=1)
+    s = same.scores(*B.text_buffers(pa.array(["abcd"]))[:2])[0]
+    assert same.langs == ["aa", "xx"] and s[0] == pytest.approx(s[1], abs=1e-6) and s.round(5).argmax() == 0
+    texts = ["", "x", "häuser und bäume " * 9, "the quick brown fox"]
+    whole = langid.presence(*B.text_buffers(pa.array(texts))[:2])
+    monkeypatch.setattr(langid, "STEP", 7)
+    assert np.array_equal(whole, langid.presence(*B.text_buffers(pa.array(texts))[:2]))
+
+
 def test_language_of_odd_rows(spark, documents):
     docs = odd_docs(spark)
     got = langid.identify(docs, langid.fit_on(documents, sample=20, landmarks=5)).collect()
@@ -101,6 +112,53 @@ def test_private_spans_of_unseen_examples(trees):
     assert np.mean(inside) > 0.97 and np.mean(clean) > 0.93
 
 
+def test_trees_against_their_definition():
+    """One tree of two levels by trying every cut at every node, and the sum of its steps."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (80, 3)).astype(float), (rng.random(80) < 0.4).astype(float)
+    got = pii.Trees(trees=3, depth=2, step=0.3, bins=16, ridge=1.0).fit(x, y)
+    score = np.full(80, np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+
+        def best(rows):
+            def gain(c, v):
+                low = rows & (x[:, c] <= v)
+                high = rows & ~low
+                return g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1)
+
+            return max(gain(c, v) for c in range(3) for v in [*range(5), np.inf])
+
+        # any cut of the greatest gain will do, so gains are compared and leaves are taken as they were cut
+        column, limit, value = got.made[_]
+        rows = np.ones(80, bool)
+        gain_of = lambda rows, k: sum(g[r].sum() ** 2 / (h[r].sum() + 1) for r in (rows & (x[:, column[k]] <= limit[k]), rows & (x[:, column[k]] > limit[k])))
+        right = x[:, column[0]] > limit[0]
+        for k, part in ((0, rows), (1, ~right), (2, right)):
+            assert gain_of(part, k) == pytest.approx(best(part), abs=1e-9)
+        for part, k, at in ((~right, 1, 0), (right, 2, 2)):
+            for side, leaf in ((part & (x[:, column[k]] <= limit[k]), at), (part & (x[:, column[k]] > limit[k]), at + 1)):
+                assert value[leaf] == pytest.approx(0.3 * g[side].sum() / (h[side].sum() + 1), abs=1e-12)
+                score[side] += value[leaf]
+    assert np.allclose(got.score(x), score)
+
+
+def test_private_thresholds_keep_their_recall():
+    """On the held-out quarter each kind's threshold keeps RECALL of its private spans, and no lower one is nearer than the best look-alike allows."""
+    count = 1200
+    model, held = pii.fit(count), pii.examples(count)[count * 3 // 4 :]
+    x, y, kinds = pii._labelled(held)
+    score = model.trees.score(x)
+    for k in range(len(pii.KINDS)):
+        good, bad = score[(kinds == k) & (y > 0)], score[(kinds == k) & (y == 0)]
+        if len(good):
+            t = model.thresholds[k]
+            assert (good >= t).mean() >= pii.RECALL - 1 / len(good)
+            highest = np.sort(good)[int((1 - pii.RECALL) * len(good))]
+            assert t <= highest and not ((bad >= t) & (bad < highest)).any()
+
+
 def test_private_data_of_documents(spark, documents, trees):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in pii.redact_pii(documents, trees).collect():
@@ -159,6 +217,96 @@ def test_toxic_documents_held_out(spark):
     assert right[got.toxic == 1].mean() > 0.85 and right[got.toxic == 0].mean() > 0.98
 
 
+@pytest.mark.parametrize("sf, caught, clean", [("sf0.001", 0.0, 0.85), ("sf0.01", 0.35, 0.85)])
+def test_toxic_documents_held_out_of_small_tables(spark, sf, caught, clean):
+    """What a few hundred labels allow: README has the figures."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter("toxic IS NOT NULL")
+    model = toxicity.fit_on(docs, known.filter("doc_id % 3 > 0"))
+    got = toxicity.score_toxicity(docs, model).join(known.filter("doc_id % 3 = 0").select("doc_id", "toxic"), "doc_id").toPandas()
+    right = got.is_toxic == (got.toxic == 1)
+    assert right[got.toxic == 1].mean() >= caught and right[got.toxic == 0].mean() >= clean
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_threshold_of_least_cost(seed):
+    """No cut anywhere costs less than the one chosen."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(30) < 0.3).astype(int)
+    y[:2] = 0, 1
+    scores = np.round(rng.normal(size=30) + y, int(rng.integers(0, 3)))
+    cost = lambda t: ((scores <= t) & (y > 0)).sum() / (y > 0).sum() + toxicity.FALSE_COST * ((scores > t) & (y == 0)).sum() / (y == 0).sum()
+    t = toxicity.best_threshold(scores, y)
+    assert cost(t) == pytest.approx(min(cost(v) for v in [scores.min() - 1, *scores])) and t not in scores
+
+
+def test_thresholds_by_language():
+    """A language with enough of both classes held out has its own threshold, found on those alone."""
+    rng = np.random.default_rng(3)
+    texts, y, langs = [], [], []
+    for i in range(440):
+        bad = i % 3 == 0
+        lang = "ab"[int(rng.integers(2))] if i < 430 else "c"
+        texts.append(" ".join(f"{lang}{rng.integers(40)}" for _ in range(12)) + (f" vile{lang}" if bad else ""))
+        y.append(int(bad))
+        langs.append(lang if i % 50 else None)
+    y = np.array(y)
+    m = toxicity.fit(texts, y, langs, epochs=1)
+    order = np.argsort(-y, kind="stable")
+    held = np.zeros(len(y), bool)
+    held[order[3::4]] = True
+    raw, offsets, _ = B.text_buffers(pa.array([t for t, h in zip(texts, held) if h]))
+    scores = m.score(raw, offsets)
+    assert m.threshold == toxicity.best_threshold(scores, y[held])
+    own = {k: np.array([x == k for x, h in zip(langs, held) if h]) for k in "abc"}
+    enough = {k for k, o in own.items() if min(y[held][o].sum(), (1 - y[held][o]).sum()) >= toxicity.LEAST_HELD_OUT}
+    assert set(m.thresholds) == enough and len(enough) == 2 and "c" not in enough
+    assert all(m.thresholds[k] == toxicity.best_threshold(scores[own[k]], y[held][own[k]]) for k in enough)
+    assert m.limit(None) == m.limit("zz") == m.threshold
+
+
+def test_one_step_of_training_is_the_gradient(monkeypatch):
+    """The change of the output's bias after one step is the mean error's, and the loss's slope found by differences."""
+    monkeypatch.setattr(toxicity, "DROPPED", 0.0)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 0)
+    texts, y = [f"w{i % 5} x{i % 3} bad" if i % 2 else f"w{i % 5} good" for i in range(24)], np.array([i % 2 for i in range(24)])
+    start = toxicity.Model.new(np.random.default_rng(toxicity.SEED))
+    got = toxicity.train(texts, y, epochs=1)
+    raw, offsets, _ = B.text_buffers(pa.array(texts))
+
+    def loss(model):
+        z = model.score(raw, offsets)
+        w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        return float((w * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)).mean())
+
+    slope = (loss(dataclasses.replace(start, out_bias=start.out_bias + 1e-4)) - loss(dataclasses.replace(start, out_bias=start.out_bias - 1e-4))) / 2e-4
+    assert got.out_bias == pytest.approx(start.out_bias - 0.1 * slope, abs=1e-4)
+    for k in range(len(start.out)):  # the first step of each weight is its gradient's sign times the rate
+        up, down = start.out.copy(), start.out.copy()
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        d = loss(dataclasses.replace(start, out=up)) - loss(dataclasses.replace(start, out=down))
+        if abs(d) > 1e-6:
+            assert got.out[k] - start.out[k] == pytest.approx(-0.01 * np.sign(d), abs=1e-4)
+    assert loss(got) < loss(start)
+
+
+def test_long_text_is_scored_by_segments(monkeypatch, spark, documents):
+    model = toxicity.fit_on(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    raw, offsets, _ = B.text_buffers(pa.array([" ".join(r.text for r in documents.limit(12).collect()).lower(), "x" * 20_000 + " y", "a b"]))
+    whole = model.score(raw, offsets)
+    monkeypatch.setattr(toxicity, "CHUNK", 500)
+    assert np.allclose(model.score(raw, offsets), whole, atol=1e-5) and len(list(B.segments(raw[: offsets[1]], 500, 2))) > 20
+
+
+def test_a_score_at_its_threshold_is_not_toxic(spark):
+    model = toxicity.Model.new(np.random.default_rng(0))
+    model.out[:] = 0
+    model.threshold = model.out_bias
+    df = spark.createDataFrame([(1, "any", "en"), (2, "", None)], "doc_id long, text string, lang string")
+    assert not any(r.is_toxic for r in toxicity.score_toxicity(df, model).collect()) and toxicity.drop_toxic(df, model).count() == 2
+
+
 def test_toxicity_scores_do_not_depend_on_neighbours(spark, documents):
     model = toxicity.fit_on(documents, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = [r.text for r in documents.limit(40).collect()]
