@@ -9,36 +9,71 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import mixing, ngramjoin, packing, pii, toxicity
-from spanloom.llm.store import materialise
+from spanloom.llm import mixing, ngramjoin, packing, pii, tokencount, toxicity
+from spanloom.llm.store import bounded_batches, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go.  It is trained on labelled documents of ``docs``."""
+    """Documents that the classifier rejects go.  It is trained on labelled documents of ``docs``.
+
+    Rows of a null text stay, an empty text is scored as having no evidence, a
+    score equal to its threshold isn't toxic, repeated rows are judged each.
+    Without labels of both kinds nothing goes.  All columns stay, whatever
+    their names.  An empty table stays empty.
+    """
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit_on(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays."""
+    """Of each group of near copies the document of the least id stays.
+
+    Rows of a null id or text, and texts without a word, stay.  Rows of one id
+    stay or go together, repeated ones included, so ties don't arise.  All
+    columns stay.  An empty table stays empty.
+    """
+    bounded_batches(spark)
     return ngramjoin.keep_one(docs)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private spans are replaced in the text; n_chars follows."""
+    """Private spans are replaced in the text; n_chars follows.
+
+    Null and empty texts stay as they are (n_chars is then null and 0);
+    repeated rows are redacted alike.  All other columns stay as they are.  An
+    empty table stays empty.
+    """
+    bounded_batches(spark)
     return pii.redact_column(docs, pii.fit())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of training, repeated or left out as their source's weight asks."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    """Documents in the order of training, repeated or left out as their source's weight asks, weighed by their tokens.
+
+    A null source counts as the source ''.  Texts without tokens are read with
+    the next one of their source.  Repeated rows are read each.  Equal orders
+    go by the row's hash.  All columns stay.  An empty table stays empty.
+    """
+    bounded_batches(spark)
+    counted = tokencount.with_tokens(docs, _TOKENS)
+    return mixing.mix_sources(counted, tokens_col=_TOKENS).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes among the training windows."""
+    """Where each piece of each document goes among the training windows.
+
+    Documents without tokens, of a null or an empty text, have no piece.
+    Repeated rows are packed each, a null id is kept, columns but id and text
+    aren't read.  An empty table gives an empty result.
+    """
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
+#: A column that lives only within mixing.
+_TOKENS = "_sl_n_tokens"
+
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("private", redact_private), ("mixing", mix), ("packing", pack)]
 
 #: A trained network and best-fit packing can't be written in SQL.
