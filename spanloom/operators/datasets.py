@@ -136,6 +136,45 @@ def without_passages(rows: DataFrame, held_out: DataFrame, id_col: str = "doc_id
     return rows.join(passages(rows, held_out, id_col, item_col, text_col, run).select(id_col).distinct(), id_col, "left_anti").select(*rows.columns)
 
 
+def leaking(rows: DataFrame, held_out: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = PASSAGE_WORDS) -> DataFrame:
+    """``rows`` whose text holds a passage of ``held_out``."""
+    return rows.join(passages(rows, held_out, id_col, item_col, text_col, run).select(id_col).distinct(), id_col, "left_semi").select(*rows.columns)
+
+
+#: Leading hexadecimal digits of a row's order in which an exact split counts rows.
+SPLIT_DIGITS = 4
+
+
+def split_order(seed: int, id_col: str) -> Column:
+    """The order in which rows are taken for validation: a hash of the seed and the id."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+
+
+def with_exact_split(rows: DataFrame, share: float, seed: int = 0, id_col: str = "row_no", out_col: str = "is_validation") -> DataFrame:
+    """``rows`` with a flag on exactly the whole part of share x rows, the first in the order of a seeded hash, then of the id.
+
+    Rows are counted by the leading digits of their order, so only the few
+    that share the digits where the share is reached are sorted.  Ids must be
+    unique for the count to be exact: rows of one id are flagged alike.
+    """
+    order = split_order(seed, id_col)
+    head = F.substring(order, 1, SPLIT_DIGITS)
+    counted = rows.groupBy(head.alias("h")).agg(F.count("*").alias("n")).orderBy("h").collect()  # 16^SPLIT_DIGITS rows at most
+    want = int(sum(r.n for r in counted) * share)
+    edge, before = None, 0
+    for r in counted:
+        if before + r.n > want:
+            edge = r.h
+            break
+        before += r.n
+    if edge is None:
+        return rows.withColumn(out_col, F.lit(bool(want)))
+    inner = rows.filter(head == edge).select(F.struct(order.alias("o"), F.col(id_col).alias("i")).alias("k")).orderBy("k").limit(want - before).agg(F.max("k").alias("k")).first().k
+    at = F.struct(order, F.col(id_col))
+    flag = head < F.lit(edge) if inner is None else (head < F.lit(edge)) | (at <= F.struct(F.lit(inner.o), F.lit(inner.i).cast(rows.schema[id_col].dataType)))
+    return rows.withColumn(out_col, flag)
+
+
 def with_split(rows: DataFrame, share: float, seed: int = 0, id_col: str = "row_no", out_col: str = "is_validation") -> DataFrame:
     """``rows`` with a flag on a share of them by a seeded hash of their id.
 

@@ -14,8 +14,9 @@ SPANS = "array<struct<start:int,end:int,label:string>>"
 
 def align(gold: DataFrame, pred: DataFrame, key: str = "row_no") -> DataFrame:
     """(key, gold, pred) span sets of aligned rows; fails on a row that only one side has, or of another text."""
-    g = gold.select(key, F.col("text").alias("_gt"), F.col("spans").cast(SPANS).alias("gold"), F.lit(True).alias("_g"))
-    p = pred.select(key, F.col("text").alias("_pt"), F.col("spans").cast(SPANS).alias("pred"), F.lit(True).alias("_p"))
+    # a text is compared by its digest, so that no text is shuffled
+    g = gold.select(key, F.sha2("text", 256).alias("_gt"), F.col("spans").cast(SPANS).alias("gold"), F.lit(True).alias("_g"))
+    p = pred.select(key, F.sha2("text", 256).alias("_pt"), F.col("spans").cast(SPANS).alias("pred"), F.lit(True).alias("_p"))
     both = g.join(p, key, "full_outer")
     error = F.when(F.col("_g").isNull() | F.col("_p").isNull(), "only one side has row ").when(~F.col("_gt").eqNullSafe(F.col("_pt")), "texts differ in row ")
     none = F.array().cast(SPANS)
@@ -59,12 +60,20 @@ def score(gold: DataFrame, pred: DataFrame, key: str = "row_no") -> DataFrame:
 
 
 def report(gold: DataFrame, pred: DataFrame, key: str = "row_no") -> DataFrame:
-    """The scores by label, then two rows of totals: 'micro' with their ratios, 'macro' with the labels' mean ratios."""
-    by = score(gold, pred, key)
-    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tp", "fp", "fn", "partial")]
-    total = by.agg(*sums, *(F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("precision", "recall", "f1")))
-    micro = total.select(F.lit("micro").alias("label"), "tp", "fp", "fn", "partial", *ratios("tp", "fp", "fn"))
-    return by.unionByName(micro).unionByName(total.select(F.lit("macro").alias("label"), *total.columns))
+    """The scores by label, then two rows of totals: 'micro' with their ratios, 'macro' with the labels' mean ratios.
+
+    The labels are a bounded set, so all is read once: their rows meet in one
+    row, which is taken apart again.
+    """
+    names = ("label", "tp", "fp", "fn", "partial", "precision", "recall", "f1")
+    whole = score(gold, pred, key).agg(F.collect_list(F.struct(*names)).alias("by"))
+    total = lambda k: F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x[k])
+    mean = lambda k: F.coalesce(F.aggregate("by", F.lit(0.0), lambda a, x: a + x[k]) / F.nullif(F.size("by"), F.lit(0)), F.lit(0.0))
+    summed = whole.select("by", *(total(k).alias(k) for k in names[1:5]))
+    four = [F.col(k) for k in names[1:5]]
+    micro = F.struct(F.lit("micro").alias("label"), *four, *ratios("tp", "fp", "fn"))
+    macro = F.struct(F.lit("macro").alias("label"), *four, *(mean(k).alias(k) for k in names[5:]))
+    return summed.select(F.explode(F.concat("by", F.array(micro, macro))).alias("x")).select("x.*")
 
 
 def row_parity(rows: DataFrame, ref: str = "ref", got: str = "got", margin: float = 1e-3) -> DataFrame:
@@ -87,12 +96,48 @@ def row_parity(rows: DataFrame, ref: str = "ref", got: str = "got", margin: floa
     })
 
 
-def first_divergence(ref: DataFrame, got: DataFrame, order: list[str], limit: float = 1e-3) -> DataFrame:
-    """(tap, ordinal, max_diff) of the first tap, in ``order``, whose values (tap, row, val array) differ by more."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("tap"))
-    both = ref.select("tap", "row", F.col("val").alias("a")).join(got.select("tap", "row", F.col("val").alias("b")), ["tap", "row"])
-    diff = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-    return both.groupBy("tap").agg(F.max(diff).alias("max_diff")).withColumn("ordinal", place.cast("int")).filter((F.col("max_diff") > limit) & (F.col("ordinal") > 0)).orderBy("ordinal").limit(1).select("tap", "ordinal", "max_diff")
+def tap_differences(ref: DataFrame, got: DataFrame, margin: float = 1e-3) -> DataFrame:
+    """(tap, place, rows, max_diff, differing_sets, ties) of taps (tap, row, val array), in the order in which they are made.
+
+    A tap of chosen experts (``..topk``) is compared as a set, row by row.
+    A row whose sets differ is a tie, and no difference, where the reference's
+    logits of that layer (``..logits`` of the same prefix) part what was chosen
+    from what wasn't by ``margin`` or less.  max_diff is that of other taps.
+    """
+    a, b = ref.select("tap", "row", F.col("val").alias("a")), got.select("tap", "row", F.col("val").alias("b"))
+    chosen = F.col("tap").endswith("topk")
+    logits = ref.filter(F.col("tap").endswith("moe_logits")).select(F.regexp_replace("tap", "moe_logits$", "moe_topk").alias("tap"), "row", F.col("val").alias("logits"))
+    both = a.join(b, ["tap", "row"]).join(logits, ["tap", "row"], "left")
+    k = F.size("a")
+    sorted_down = F.reverse(F.array_sort("logits"))
+    close = F.coalesce(F.try_element_at(sorted_down, k) - F.try_element_at(sorted_down, k + 1) <= margin, F.lit(False))
+    apart = chosen & ((F.size(F.array_except("a", "b")) > 0) | (F.size(F.array_except("b", "a")) > 0))
+    diff = F.when(~chosen, F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))))
+    found = both.groupBy("tap").agg(F.count("*").alias("rows"), F.coalesce(F.max(diff), F.lit(0.0)).alias("max_diff"), F.count_if(apart & ~close).alias("differing_sets"), F.count_if(apart & close).alias("ties"))
+    return found.withColumn("place", tap_place("tap")).select("tap", "place", "rows", "max_diff", "differing_sets", "ties")
+
+
+#: Steps within a layer, in the order in which they are made.
+LAYER_TAPS = ("attn_norm", "q_rope", "k_rope", "attn_out", "ffn_inp", "post_norm", "moe_logits", "moe_topk", "moe_weights", "moe_out", "l_out")
+
+
+def tap_place(tap) -> Column:
+    """Where a tap comes in a forward pass, from its name alone: the embedding, layer after layer, the result, the logits."""
+    name = F.col(tap) if isinstance(tap, str) else tap
+    layer = F.regexp_extract(name, r"^l([0-9]+)\.", 1)
+    step = F.array_position(F.array(*map(F.lit, LAYER_TAPS)), F.regexp_extract(name, r"^l[0-9]+\.(.*)$", 1))
+    return F.when(name == "embd", 0).when(name == "result_norm", (1 << 30) - 1).when(name == "logits", 1 << 30).when(layer != "", layer.try_cast("int") * 100 + step + 1).cast("int")
+
+
+def first_divergence(ref: DataFrame, got: DataFrame, order: list[str] | None = None, limit: float = 1e-3) -> DataFrame:
+    """(tap, ordinal, max_diff) of the first tap whose values (tap, row, val array) differ by more, or whose choices differ but for ties.
+
+    First in ``order``, or where none is given in that of a forward pass.
+    """
+    found = tap_differences(ref, got, limit)
+    place = F.col("place") if order is None else F.array_position(F.array(*map(F.lit, order)), F.col("tap")).cast("int")
+    first = found.withColumn("ordinal", place).filter((F.col("max_diff") > limit) | (F.col("differing_sets") > 0))
+    return first.filter(F.col("ordinal") >= (0 if order is None else 1)).orderBy("ordinal").limit(1).select("tap", "ordinal", "max_diff")
 
 
 def token_mismatches(ours: DataFrame, theirs: DataFrame, id_col: str = "doc_id") -> DataFrame:

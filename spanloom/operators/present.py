@@ -36,8 +36,13 @@ def wrapped(text, width: int = 80) -> Column:
 
 
 def on_lines(lines, spans) -> Column:
-    """For each line the spans that overlap it."""
-    return F.transform(_col(lines), lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.filter(_col(spans), lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])).alias("spans")))
+    """For each line the spans that overlap it; null lines give null.  Lines and spans are worked out once, not once a line."""
+    one = F.array(F.struct(_col(lines).alias("lines"), _col(spans).alias("spans")))
+
+    def of(x):
+        return F.transform(x["lines"], lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.filter(x["spans"], lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])).alias("spans")))
+
+    return F.transform(one, of)[0]
 
 
 def found_so_far(entities: DataFrame, id_col: str = "doc_id") -> DataFrame:

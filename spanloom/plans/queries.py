@@ -21,6 +21,8 @@ from spanloom.streaming.documents import read_documents, redact_stream, run_once
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 BIOES = ("O", *(f"{t}-{c}" for c in ("X", "Y") for t in "BIES"))
+#: A class for each of the 64 dimensions of an embedding; the last category has no S.
+WIDE_BIOES = ("O", *(f"{t}-C{c}" for c in range(16) for t in "BIES"))[:64]
 #: The second detector that evaluation queries score against the first.
 OTHER_RULES = tuple((k, p) for k, p in RULES if k not in ("private_phone", "private_date", "IPADDRESS")) + (
     ("private_phone", r"[0-9]{3}[ -][0-9]{4}\b"), ("IPADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"), ("private_date", r"\b[0-9]{4}-[0-9]{2}\b"),
@@ -45,7 +47,12 @@ def _long(*names: str) -> list[Column]:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     return f"{base.rstrip('/')}/spanloom/{uuid.uuid4().hex}"
 
 
@@ -148,14 +155,14 @@ def log_softmax_rows(spark, sf_dir):
 
 def viterbi_paths(spark, sf_dir):
     """Embeddings of a label as the tokens of a document, decoded strictly."""
-    e = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("tok_pos"), F.slice("embedding", 1, len(BIOES)).alias("logp"))
-    return decode.decode_strict(e, L.label_table(BIOES)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", *_long("s.cat", "s.tok_begin", "s.tok_end"), F.round("s.score", 4).alias("score"))
+    e = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("tok_pos"), F.col("embedding").alias("logp"))
+    return decode.decode_strict(e, L.label_table(WIDE_BIOES)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", *_long("s.cat", "s.tok_begin", "s.tok_end"), F.round("s.score", 4).alias("score"))
 
 
 def lenient_decode(spark, sf_dir):
     """The same tokens by each one's best class and the forgiving reading; a token is one place wide."""
-    e = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("tok_pos"), F.slice("embedding", 1, len(BIOES)).alias("logp"))
-    best = decode.best_labels(e, L.label_table(BIOES)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_pos", "label"))).alias("t"))
+    e = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("tok_pos"), F.col("embedding").alias("logp"))
+    best = decode.best_labels(e, L.label_table(WIDE_BIOES)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_pos", "label"))).alias("t"))
     rows = best.select("doc_id", F.transform("t", lambda x: x["label"]).alias("labels"), F.transform("t", lambda _, i: i).alias("starts"), F.transform("t", lambda _, i: i + 1).alias("ends"))
     return decode.decode_lenient(rows).select("doc_id", F.explode("spans").alias("s")).select("doc_id", *_long("s.start", "s.end"), "s.label")
 
@@ -239,13 +246,19 @@ def bioes_encode(spark, sf_dir, table="conversations", keys=("conv_id", "turn"))
 
 
 def leakage_check(spark, sf_dir):
-    """Documents whose text is a benchmark item's."""
-    return datasets.leaked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
+    """Documents that hold a passage of the benchmark."""
+    return datasets.leaking(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
 
 
 def without_benchmark(spark, sf_dir):
-    """Documents whose text is none of the benchmark's."""
-    return datasets.without(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
+    """Documents that hold no passage of the benchmark."""
+    return datasets.without_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
+
+
+def equal_to_benchmark(spark, sf_dir):
+    """Documents whose whole text is a benchmark item's, and how many aren't: a row each."""
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return datasets.leaked(docs, items).agg(F.count("*").alias("equal")).crossJoin(datasets.without(docs, items).agg(F.count("*").alias("other")))
 
 
 def benchmark_passages(spark, sf_dir):
@@ -269,8 +282,8 @@ def repeated_text_ids(spark, sf_dir):
 
 
 def validation_split(spark, sf_dir):
-    """A tenth of the documents by a seeded hash."""
-    return datasets.with_split(_read(spark, sf_dir, "documents"), 0.1, seed=7, id_col="doc_id").select("doc_id", "is_validation")
+    """A tenth of the documents, exactly, by a seeded hash."""
+    return datasets.with_exact_split(_read(spark, sf_dir, "documents"), 0.1, seed=7, id_col="doc_id").select("doc_id", "is_validation")
 
 
 def wrapped_lines(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
@@ -355,7 +368,7 @@ def _of_documents(query):
 _ALL = (
     classify_documents, redact_fixed, redact_labels, mask_documents, entity_counts, top_categories, byte_char_offsets, trim_spans, person_split, merge_near_spans, remap_labels,
     spans_from_bioes, threshold_filter, argmax_label, log_softmax_rows, viterbi_paths, lenient_decode, halo_windows, window_coverage, pretokenize, pretoken_spans, pretoken_counts,
-    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, repeated_text_ids, validation_split, wrapped_lines,
+    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, equal_to_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, repeated_text_ids, validation_split, wrapped_lines,
     found_so_far, latest_findings, entities_json, redact_pages, redact_conversations, stream_redact, tokenize_bpe, classify_by_model,
     *map(_of_documents, (trim_spans, merge_near_spans, pretoken_spans, bioes_encode, wrapped_lines, tokenize_bpe, classify_by_model)),
 )
@@ -460,6 +473,10 @@ _WINDOWS_SQL = """
 WITH n AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 4096 THEN 1 ELSE CAST(ceil((n - 4096) / 2048.0) AS BIGINT) + 1 END)) * 2048 AS s FROM n)
 SELECT doc_id, s AS "start", least(4096, n - s) AS wlen, CASE WHEN s = 0 THEN 0 ELSE 1024 END::BIGINT AS lo, CASE WHEN s + 4096 >= n THEN n - s ELSE 3072 END AS hi FROM k"""
+#: Of the class c, from 1: whether a label of its own may begin there; the scores of its category's B and I; the best closed class.
+_FRESH, _B, _I = "(c = 1 OR (c - 2) % 4 IN (0, 3))", "s[2 + (c - 2) // 4 * 4]", "s[3 + (c - 2) // 4 * 4]"
+_CLOSED = "list_filter(range(1, 65), lambda c: c = 1 OR (c - 2) % 4 IN (2, 3))"
+_BEST = f"{_CLOSED}[list_position(list_transform({_CLOSED}, lambda c: s[c]), list_max(list_transform({_CLOSED}, lambda c: s[c])))]"
 _ENTITIES_SQL = f'SELECT doc_id, s AS "start", e AS "end", label FROM ({_rules_sql("documents", "doc_id")})'
 
 ORACLE_SQL: dict[str, str] = {
@@ -513,8 +530,43 @@ WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding::DO
 SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_max(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))) / list_max(list_transform(a, lambda v: abs(v))), 6) AS row_err,
   list_position(a, list_max(a)) = list_position(b, list_max(b)) AS same_argmax FROM x""",
     "bioes_encode": _BIOES_SQL,
-    "leakage_check": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark WHERE text IS NOT NULL)",
-    "without_benchmark": "SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)",
+    "leakage_check": f"SELECT DISTINCT doc_id FROM ({_PASSAGES_SQL})",
+    "without_benchmark": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
+    "equal_to_benchmark": 'SELECT count(*) FILTER (text IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS "equal", count(*) FILTER (text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS other FROM documents',
+    "validation_split": """SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= CAST(floor(count(*) OVER () * 0.1) AS BIGINT) AS is_validation FROM documents""",
+    "entities_json": f"""
+WITH e AS ({" UNION ALL ".join(f"SELECT {k} AS rule, * FROM ({_match_sql('documents', 'doc_id', label, pattern, 'strlen')})" for k, (label, pattern) in enumerate(RULES))}),
+j AS (SELECT e.doc_id, string_agg('{{"entity_group":' || to_json(label) || ',"start":' || s || ',"end":' || e || ',"score":1.0,"text":' || to_json(decode(encode(text)[s + 1:e])) || '}}', ',' ORDER BY rule, s) AS j FROM e JOIN documents d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN '[' || coalesce(j, '') || ']' END AS json FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""",
+    "viterbi_paths": f"""
+WITH RECURSIVE t AS (SELECT label AS d, vec_id, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+v AS (
+  SELECT d, t, list_transform(range(1, 65), lambda c: CASE WHEN {_FRESH} THEN e[c] ELSE '-inf'::FLOAT END) AS s, NULL::BIGINT[] AS back FROM t WHERE t = 1
+  UNION ALL
+  SELECT d, t, list_transform(range(1, 65), lambda c: CASE WHEN {_FRESH} THEN s[best] ELSE greatest({_B}, {_I}) END + e[c]),
+    list_transform(range(1, 65), lambda c: CASE WHEN {_FRESH} THEN best WHEN {_I} > {_B} THEN 3 + (c - 2) // 4 * 4 ELSE 2 + (c - 2) // 4 * 4 END)
+  FROM (SELECT t.d, t.t, t.e, v.s, {_BEST} AS best FROM v JOIN t ON t.d = v.d AND t.t = v.t + 1)),
+p AS (
+  SELECT v.d, v.t, {_BEST} AS c, back FROM v JOIN t ON t.d = v.d AND t.t = v.t AND t.t = t.n
+  UNION ALL
+  SELECT v.d, v.t, p.back[p.c], v.back FROM p JOIN v ON v.d = p.d AND v.t = p.t - 1),
+w AS (SELECT p.d, t.vec_id, p.t, p.c, exp(t.e[p.c]::DOUBLE)::FLOAT::DOUBLE AS prob, sum(CASE WHEN p.c > 1 AND (p.c - 2) % 4 IN (0, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY p.d ORDER BY p.t) AS g FROM p JOIN t ON t.d = p.d AND t.t = p.t)
+SELECT d AS doc_id, min((c - 2) // 4)::BIGINT AS cat, min(t)::BIGINT - 1 AS tok_begin, max(t)::BIGINT - 1 AS tok_end, round(avg(prob)::FLOAT, 4) AS score FROM w WHERE c > 1 GROUP BY d, g""",
+    "lenient_decode": """
+WITH RECURSIVE b AS (SELECT label AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_position(embedding, list_max(embedding)) AS c FROM embeddings),
+k AS (SELECT d, t, CASE WHEN c = 1 THEN 'O' ELSE substring('BIES', CAST((c - 2) % 4 AS INT) + 1, 1) END AS tag, 'C' || ((c - 2) // 4) AS name FROM b),
+r AS (
+  SELECT d, -1::BIGINT AS t, NULL::VARCHAR AS cat, 0::BIGINT AS first, [] :: STRUCT("start" BIGINT, "end" BIGINT, label VARCHAR)[] AS made FROM k GROUP BY d
+  UNION ALL
+  SELECT k.d, k.t,
+    CASE WHEN tag IN ('I', 'E') AND cat = name THEN CASE tag WHEN 'I' THEN cat END WHEN tag IN ('O', 'S') THEN NULL ELSE name END,
+    CASE WHEN tag IN ('I', 'E') AND cat = name THEN first ELSE k.t END,
+    CASE WHEN tag IN ('I', 'E') AND cat = name THEN CASE tag WHEN 'E' THEN [{'start': first, 'end': k.t + 1, 'label': cat}] ELSE [] END
+      ELSE CASE WHEN cat IS NULL THEN [] ELSE [{'start': first, 'end': k.t, 'label': cat}] END || CASE tag WHEN 'S' THEN [{'start': k.t, 'end': k.t + 1, 'label': name}] ELSE [] END END
+  FROM r JOIN k ON k.d = r.d AND k.t = r.t + 1),
+l AS (SELECT d, first, max(t) OVER (PARTITION BY d) AS last, t, cat FROM r)
+SELECT d AS doc_id, m."start", m."end", m.label FROM (SELECT d, unnest(made) AS m FROM r)
+UNION ALL SELECT d, first, last + 1, cat FROM l WHERE t = last AND cat IS NOT NULL""",
     "benchmark_passages": _PASSAGES_SQL,
     "without_benchmark_passages": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
