@@ -127,3 +127,17 @@ def extend_labels(labels: Sequence[str], targets: Sequence[str] = TARGETS) -> li
     have = set(labels)
     more = [f"{t}-{c}" for c in targets if resolve_category(c, have) == c for t in "BIES"]
     return [*labels, *(x for x in more if x not in have)]
+
+
+def extend_head(weight, bias, labels: Sequence[str], targets: Sequence[str] = TARGETS, seed: int = 0):
+    """(weight, bias, labels) of a classifier's last layer with rows for the labels that ``extend_labels`` adds.
+
+    Rows that there were stay as they are; new ones are small and random from
+    the seed, their biases 0.
+    """
+    import numpy as np
+
+    names = extend_labels(labels, targets)
+    more = len(names) - len(labels)
+    rows = np.random.default_rng(seed).normal(0, 0.02, (more, weight.shape[1]))
+    return np.concatenate([weight, rows.astype(weight.dtype)]), np.concatenate([bias, np.zeros(more, bias.dtype)]), names

@@ -126,7 +126,7 @@ def tap_place(tap) -> Column:
     name = F.col(tap) if isinstance(tap, str) else tap
     layer = F.regexp_extract(name, r"^l([0-9]+)\.", 1)
     step = F.array_position(F.array(*map(F.lit, LAYER_TAPS)), F.regexp_extract(name, r"^l[0-9]+\.(.*)$", 1))
-    return F.when(name == "embd", 0).when(name == "result_norm", (1 << 30) - 1).when(name == "logits", 1 << 30).when(layer != "", layer.try_cast("int") * 100 + step + 1).cast("int")
+    return F.when(name == "embd", 0).when(name == "result_norm", (1 << 30) - 1).when(name == "logits", 1 << 30).when(layer != "", layer.try_cast("int") * 100 + step).cast("int")
 
 
 def first_divergence(ref: DataFrame, got: DataFrame, order: list[str] | None = None, limit: float = 1e-3) -> DataFrame:

@@ -133,6 +133,18 @@ def register_sql(spark: SparkSession) -> None:
     for label, pattern in RULES:
         expr = f"regexp_replace({expr}, r\"{pattern}\", '{REDACTION_TAGS.get(label, OTHER_TAG)}')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sl_redact(t STRING) RETURNS STRING RETURN {expr}")
+    spark.udtf.register("sl_pretokens", F.udtf(Pretokens, returnType="start: int, end: int, piece: string"))
+
+
+class Pretokens:
+    """The table function sl_pretokens(text): a row (start, end, piece) for each pre-token, in bytes; none for a null."""
+
+    def eval(self, text: str | None):
+        from spanloom.functions.pretoken import byte_spans
+
+        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        for start, end in byte_spans(raw):
+            yield start, end, raw[start:end].decode("utf-8", "replace")
 
 
 def device(name: str) -> tuple[str, int]:
@@ -143,6 +155,15 @@ def device(name: str) -> tuple[str, int]:
     return kind, int(k or 0)
 
 
+def session_options(name: str = "cpu", threads: int = 0) -> dict[str, str]:
+    """Spark settings for a device and a number of threads a task; 0 threads leaves the choice to the session."""
+    kind, _ = device(name)
+    out = {} if threads <= 0 else {"spark.task.cpus": str(threads), "spark.executorEnv.OMP_NUM_THREADS": str(threads)}
+    if kind != "cpu":
+        out |= {"spark.executor.resource.gpu.amount": "1", "spark.task.resource.gpu.amount": "1"}
+    return out
+
+
 def cli_options(args: list[str]) -> dict:
     """Options of the text modes: a bare number is a threshold, any other bare word a device."""
     out, rest = {"threshold": 0.5, "device": "cpu", "labels": False, "replacement": "***"}, list(args)

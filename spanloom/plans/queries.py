@@ -286,10 +286,17 @@ def validation_split(spark, sf_dir):
     return datasets.with_exact_split(_read(spark, sf_dir, "documents"), 0.1, seed=7, id_col="doc_id").select("doc_id", "is_validation")
 
 
+def lang_rollup(spark, sf_dir):
+    """Labelled documents by language and in all: how many, of good quality, and toxic."""
+    d, l = _read(spark, sf_dir, "documents").select("doc_id", "lang"), _read(spark, sf_dir, "labels")  # noqa: E741
+    sums = [F.count("*").alias("labelled"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic")]
+    return d.join(l, "doc_id").rollup("lang").agg(*sums, F.grouping("lang").cast("int").alias("is_total")).select("lang", "is_total", *(F.col(k).cast("long").alias(k) for k in ("labelled", "good", "toxic")))
+
+
 def wrapped_lines(spark, sf_dir, table="conversations", keys=("conv_id", "turn")):
     """Each turn wrapped at 40 characters, with the entities on each line."""
     t = _read(spark, sf_dir, table).select(*keys, present.on_lines(present.wrapped("text", 40), rule_spans("text", unit="chars")).alias("l"))
-    return t.select(*keys, F.posexplode("l").alias("line", "l")).select(*keys, "line", *_long("l.start", "l.end"), F.size("l.spans").alias("entities"))
+    return t.select(*keys, F.posexplode("l").alias("line", "l")).select(*keys, *_long("line", "l.start", "l.end"), F.size("l.spans").cast("long").alias("entities"))
 
 
 def found_so_far(spark, sf_dir):
@@ -368,7 +375,7 @@ def _of_documents(query):
 _ALL = (
     classify_documents, redact_fixed, redact_labels, mask_documents, entity_counts, top_categories, byte_char_offsets, trim_spans, person_split, merge_near_spans, remap_labels,
     spans_from_bioes, threshold_filter, argmax_label, log_softmax_rows, viterbi_paths, lenient_decode, halo_windows, window_coverage, pretokenize, pretoken_spans, pretoken_counts,
-    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, equal_to_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, repeated_text_ids, validation_split, wrapped_lines,
+    digit_groups, contraction_words, eval_by_label, eval_report, row_parity, bioes_encode, leakage_check, without_benchmark, equal_to_benchmark, benchmark_passages, without_benchmark_passages, repeated_texts, repeated_text_ids, validation_split, lang_rollup, wrapped_lines,
     found_so_far, latest_findings, entities_json, redact_pages, redact_conversations, stream_redact, tokenize_bpe, classify_by_model,
     *map(_of_documents, (trim_spans, merge_near_spans, pretoken_spans, bioes_encode, wrapped_lines, tokenize_bpe, classify_by_model)),
 )
@@ -533,6 +540,20 @@ SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_max(
     "leakage_check": f"SELECT DISTINCT doc_id FROM ({_PASSAGES_SQL})",
     "without_benchmark": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_PASSAGES_SQL}))",
     "equal_to_benchmark": 'SELECT count(*) FILTER (text IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS "equal", count(*) FILTER (text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS other FROM documents',
+    "lang_rollup": "SELECT lang, grouping(lang)::INTEGER AS is_total, count(*) AS labelled, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
+    "wrapped_lines": f"""
+WITH RECURSIVE p AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS rest, unnest(range(len(string_split(text, chr(10))))) AS k FROM conversations),
+q AS (SELECT conv_id, turn, k, rest, CAST(sum(length(rest) + 1) OVER (PARTITION BY conv_id, turn ORDER BY k) AS BIGINT) - length(rest) - 1 AS o FROM p),
+w AS (
+  SELECT conv_id, turn, k, 0 AS j, o AS "start", rest, NULL::BIGINT AS "end", NULL::BIGINT AS past FROM q
+  UNION ALL
+  SELECT conv_id, turn, k, j + 1, "start" + past, substring(rest, past + 1), NULL, NULL FROM (
+    SELECT conv_id, turn, k, j, "start", rest, CASE WHEN b > 0 THEN b + 1 ELSE 40 END AS past FROM (
+      SELECT *, CASE WHEN instr(reverse(substring(rest, 1, 41)), ' ') > 0 THEN 41 - instr(reverse(substring(rest, 1, 41)), ' ') ELSE 0 END AS b FROM w WHERE length(rest) > 40))),
+l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, j) - 1 AS line, "start",
+        "start" + CASE WHEN length(rest) <= 40 THEN length(rest) WHEN instr(reverse(substring(rest, 1, 41)), ' ') BETWEEN 1 AND 40 THEN 41 - instr(reverse(substring(rest, 1, 41)), ' ') ELSE 40 END AS "end" FROM w),
+m AS ({_rules_sql(_TURNS, "conv_id, turn", "length")})
+SELECT l.conv_id, l.turn, l.line, l."start", l."end", count(m.s) AS entities FROM l LEFT JOIN m ON l.conv_id = m.conv_id AND l.turn = m.turn AND m.s < l."end" AND l."start" < m.e GROUP BY ALL""",
     "validation_split": """SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= CAST(floor(count(*) OVER () * 0.1) AS BIGINT) AS is_validation FROM documents""",
     "entities_json": f"""
 WITH e AS ({" UNION ALL ".join(f"SELECT {k} AS rule, * FROM ({_match_sql('documents', 'doc_id', label, pattern, 'strlen')})" for k, (label, pattern) in enumerate(RULES))}),
@@ -572,5 +593,5 @@ UNION ALL SELECT d, first, last + 1, cat FROM l WHERE t = last AND cat IS NOT NU
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "repeated_text_ids": "SELECT sha256(text) AS text_hash, count(*) OVER (PARTITION BY text) AS n, doc_id FROM documents WHERE text IS NOT NULL QUALIFY n > 1",
 }
-for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode"):
+for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode", "wrapped_lines"):
     ORACLE_SQL[f"{_name}_documents"] = f"WITH conversations AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM documents) SELECT conv_id AS doc_id, * EXCLUDE (conv_id, turn) FROM ({ORACLE_SQL[_name]})"

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPAN_SCHEMA = "text string, spans array<struct<start:int,end:int,label:string>>"
@@ -77,6 +77,34 @@ def pack_tokens(rows: list[list[tuple[int, int, int]]]) -> bytes:
     return b"".join(out)
 
 
+def packed_tokens(tokens) -> Column:
+    """Each row's tokens (id, start, end) as its part of a token pack; null counts as none."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).tolist()
+        x = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "end")], axis=1).astype("<i4") if len(flat) else np.zeros((0, 3), "<i4")
+        return pa.array([struct.pack("<I", b - a) + x[a:b, 0].tobytes() + np.ascontiguousarray(x[a:b, 1:]).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+
+    return run(F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda t: F.struct(*(t[k].cast("int").alias(k) for k in ("id", "start", "end")))))
+
+
+def write_token_packs(docs: DataFrame, path: str, pos_col: str = "pos", tokens_col: str = "tokens") -> DataFrame:
+    """Writes ``docs`` as Parquet of (pos, pack): executors write their own rows' parts.  Returns the table.
+
+    In the order of pos the parts put together are one token pack, as ``join_packs`` makes it.
+    """
+    docs.select(F.col(pos_col).alias("pos"), packed_tokens(tokens_col).alias("pack")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def join_packs(packs: DataFrame, path: str) -> None:
+    """One file of all parts in order, partition after partition through the driver."""
+    with open(path, "wb") as f:
+        for row in packs.orderBy("pos").select("pack").toLocalIterator():
+            f.write(row.pack)
+
+
 def parse_tokens(raw: bytes) -> list[list[tuple[int, int, int]]]:
     at, out = 0, []
     while at < len(raw):
@@ -96,16 +124,22 @@ def read_i32(path: str) -> np.ndarray:
 
 
 def read_taps(spark: SparkSession, folder: str) -> DataFrame:
-    """(tap, row, val) of a folder with meta.json and a .f32 or .i32 file for each tap."""
-    base = Path(folder)
-    taps = json.loads((base / "meta.json").read_text())["taps"]
-    rows = []
-    for name, what in sorted(taps.items()):
-        wide = "i32" if "i" in what.get("dtype", "f32") else "f32"
-        x = np.frombuffer((base / f"{name}.{wide}").read_bytes(), "<i4" if wide == "i32" else "<f4").reshape(what["shape"])
-        x = x.reshape(len(x), -1)
-        rows += [(name, k, [float(v) for v in r]) for k, r in enumerate(x)]
-    return spark.createDataFrame(rows, "tap string, row int, val array<double>")
+    """(tap, row, val) of a folder with meta.json and a .f32 or .i32 file for each tap; files are read and taken apart by executors."""
+    taps = json.loads((Path(folder) / "meta.json").read_text())["taps"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                name, _, wide = path.rpartition("/")[2].rpartition(".")
+                if name not in taps or wide != ("i32" if "i" in taps[name].get("dtype", "f32") else "f32"):
+                    continue
+                x = np.frombuffer(raw.as_buffer(), "<i4" if wide == "i32" else "<f4").reshape(taps[name]["shape"])
+                x = x.reshape(len(x), -1).astype(np.float64)
+                values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, max(x.shape[1], 1), dtype=np.int32)[: len(x) + 1], x.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(len(x), dtype=np.int32)), values], ["tap", "row", "val"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[fi]32").load(folder)
+    return files.select("path", "content").mapInArrow(run, "tap string, row int, val array<double>")
 
 
 def write_taps(folder: str, taps: dict[str, np.ndarray], tokens: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from pathlib import Path
 
@@ -158,6 +159,19 @@ def write_gguf(path: str, metadata: dict, tensors: dict[str, np.ndarray], q8: fr
     Path(path).write_bytes(front + b"\0" * (-len(front) % 32) + body)
 
 
+def requantised(source: str, target: str, names: str) -> list[str]:
+    """Writes a model file again with the weights whose names match the pattern ``names`` as Q8_0; their names.
+
+    A tensor whose rows aren't whole blocks of 32 stays as it is, and so do
+    norms, biases and sinks, which are of one dimension.
+    """
+    f = ModelFile(source)
+    tensors = {k: f.tensor(k) for k in f.tensors}
+    chosen = [k for k, x in tensors.items() if re.search(names, k) and x.ndim > 1 and x.shape[-1] % 32 == 0]
+    write_gguf(target, f.metadata, tensors, frozenset(chosen))
+    return chosen
+
+
 def metadata_of(config: Config, labels: list[str], arch: str) -> dict:
     """Metadata that ModelFile reads back as the config."""
     own = config.as_row()

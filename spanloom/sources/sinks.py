@@ -15,8 +15,8 @@ def entities_json(text, spans, unit: str = BYTES) -> Column:
 
 
 def write_redacted(docs: DataFrame, path: str, text_col: str = "redacted") -> None:
-    """A line of text for each row; line breaks in a text stay as they are."""
-    docs.select(F.col(text_col).alias("value")).filter("value IS NOT NULL").write.text(path)
+    """A line of text for each row, an empty one for a null; line breaks in a text stay as they are."""
+    docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("value")).write.text(path)
 
 
 def write_predictions(docs: DataFrame, path: str, text_col: str = "text", spans_col: str = "spans") -> None:

@@ -29,3 +29,22 @@ def random_text(seed: int, most: int = 200) -> str:
         lo, hi = r.choice(_BLOCKS)
         out.append(r.choice([" ", "\n", "\r\n", "\t", "'s", chr(r.randint(lo, hi)), chr(r.randint(lo, hi))]))
     return "".join(out)
+
+
+_NAMES = ("Ada", "Björn", "Carmen", "Dagny", "Emre", "Fanny", "Goran", "Hedda", "Ivo", "Juno")
+_FAMILIES = ("Aalto", "Brandão", "Cieślak", "Dubois", "Eriksen", "Færøy", "Gómez", "Horváth")
+_PLACES = ("Aarhus", "Brno", "Cádiz", "Delft", "Évora", "Graz")
+
+
+def letters(paragraphs: int = 90, seed: int = 11) -> str:
+    """One long text: numbered letters with names, addresses, telephone and account numbers in several scripts' spelling, parted by blank lines."""
+    r = random.Random(seed)
+    out = []
+    for k in range(paragraphs):
+        name, family = r.choice(_NAMES), r.choice(_FAMILIES)
+        out.append(
+            f"Letter no. {k}, from {name} {family}, {r.randint(1, 99)} {r.choice(_PLACES)} Road: my parcel of 20{r.randint(10, 29)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} is lost. "
+            f"Write to {name.lower()}{k}@post{r.randint(1, 9)}.example or ring +{r.randint(1, 48)} ({r.randint(100, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}; "
+            f"pay to {' '.join(str(r.randint(1000, 9999)) for _ in range(4))}, please, and note that {r.choice(('mornings', 'evenings', 'Sundays'))} are best."
+        )
+    return "\n\n".join(out)

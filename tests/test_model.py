@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from spanloom.operators import evaluate, forward
+from spanloom.operators.bpe import byte_alphabet
 from spanloom.operators.forward import Config
 from spanloom.plans.engine import Engine
 from spanloom.sources import files, gguf, sinks, synthetic
@@ -162,6 +163,104 @@ def test_gguf_round_trip(tmp_path, spark):
     assert e.classify(docs).count() == 1 and e.with_window(64).window == 64
 
 
+@pytest.fixture
+def model_file(tmp_path):
+    tokens = [chr(b) if 33 <= b < 127 else next(c for c, k in byte_alphabet().items() if k == b) for b in range(256)]
+    path = str(tmp_path / "toy.gguf")
+    gguf.write_gguf(path, gguf.metadata_of(C, LABELS, "toy") | {"tokenizer.ggml.tokens": tokens, "tokenizer.ggml.merges": ["a b"]}, W)
+    return path
+
+
+def test_token_batch(model_file, tmp_path, spark):
+    from spanloom.__main__ import main
+
+    texts = [b"", b"ab cd", "é!".encode()]
+    (tmp_path / "in").write_bytes(files.pack_texts(texts))
+    assert main(["tok-batch", model_file, str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    want = files.parse_tokens((tmp_path / "out").read_bytes())
+    assert [len(x) for x in want] == [0, 5, 3] and want[2][:2] == [(0xC3, 0, 2), (0xA9, 0, 2)]
+    assert main(["tok-batch", model_file]) == 2 and main(["tok-batch", model_file, str(tmp_path / "none"), str(tmp_path / "x")]) == 1
+    # the same by executors
+    docs = Engine.from_gguf(model_file).tokenize(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)] + [(9, None)], "pos int, text string"))
+    files.join_packs(files.write_token_packs(docs, str(tmp_path / "packs")), str(tmp_path / "joined"))
+    assert files.parse_tokens((tmp_path / "joined").read_bytes()) == [*want, []]
+
+
+def test_run_on_token_ids(model_file, tmp_path, capsys, spark):
+    from spanloom.__main__ import main
+
+    text = b" Ann went to town, and back again "
+    ids = np.frombuffer(text, np.uint8).astype("<i4")
+    (tmp_path / "ids").write_bytes(ids.tobytes())
+    (tmp_path / "offsets").write_bytes(np.stack([np.arange(len(ids)), np.arange(1, len(ids) + 1)], axis=1).astype("<i4").tobytes())
+    (tmp_path / "text").write_bytes(text)
+    base = ["run", "--model", model_file, "--tokens", str(tmp_path / "ids")]
+    assert main([*base, "--logits-out", str(tmp_path / "logits"), "--dump-taps", str(tmp_path / "taps")]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    want = forward.forward(C, W, ids)
+    assert len(lines) == 32 and lines[3].split()[2] == LABELS[int(want[3].argmax())]
+    assert np.allclose(np.frombuffer((tmp_path / "logits").read_bytes(), "<f4").reshape(want.shape), want, atol=1e-5)
+    assert files.read_taps(spark, str(tmp_path / "taps")).filter("tap = 'logits'").count() == len(ids)
+    assert main([*base, "--offsets", str(tmp_path / "offsets"), "--text", str(tmp_path / "text"), "--window", "64"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    docs = spark.createDataFrame([(1, text.decode())], "doc_id int, text string")
+    assert got and all(g["text"] == g["text"].strip() and text[g["start"] : g["end"]].decode() == g["text"] for g in got)
+    whole = Engine.from_gguf(model_file, threshold=0.0).classify(docs).first().entities
+    assert {(e.start, e.end) for e in whole if e.label == "secret"} <= {(g["start"], g["end"]) for g in got} or not whole
+    assert main(base[:3]) == 2 and main([*base, "--nope", "1"]) == 2 and main(["run", "--model", model_file, "--tokens", str(tmp_path / "none")]) == 1
+
+
+def test_speed_and_requantised(model_file, tmp_path):
+    from spanloom.plans.speed import throughput
+
+    rows = throughput(Engine.from_gguf(model_file, window=64), (32, 200), 1)
+    assert [r["tokens"] for r in rows] == [32, 200] and all(r["tokens_a_second"] > 0 for r in rows)
+    wide = dataclasses.replace(C, width=32)
+    w = forward.random_weights(wide, 256, seed=2)
+    gguf.write_gguf(str(tmp_path / "w"), gguf.metadata_of(wide, LABELS, "toy"), w)
+    chosen = gguf.requantised(str(tmp_path / "w"), str(tmp_path / "q"), r"exps|embd|norm")
+    again = gguf.ModelFile(str(tmp_path / "q"))
+    assert "token_embd.weight" in chosen and not any("norm" in k or "bias" in k and w[k].ndim == 1 for k in chosen)
+    assert all(np.abs(again.tensor(k) - w[k]).max() <= (0.05 if k in chosen else 0) for k in w)
+
+
+def test_extended_head():
+    from spanloom.functions import labels as L
+
+    labels = ["O", *(f"{t}-secret" for t in "BIES")]
+    weight, bias = np.arange(15.0, dtype=np.float32).reshape(5, 3), np.ones(5, np.float32)
+    w, b, names = L.extend_head(weight, bias, labels)
+    assert names == L.extend_labels(labels) and w.shape == (len(names), 3) and len(b) == len(names) > 5
+    assert np.array_equal(w[:5], weight) and np.array_equal(b[:5], bias) and not b[5:].any() and 0 < np.abs(w[5:]).max() < 0.2 and w.dtype == np.float32
+    assert np.array_equal(L.extend_head(w, b, names)[0], w)
+
+
+def test_taps_differ_as_sets(spark):
+    rows = lambda order, third: [("embd", 0, [1.0, 2.0]), ("l0.moe_logits", 0, [3.0, 2.0, 1.0]), ("l0.moe_topk", 0, order), ("l0.moe_logits", 1, [3.0, 1.0001, 1.0]), ("l0.moe_topk", 1, third), ("l1.attn_out", 0, [1.0])]
+    frame = lambda r: spark.createDataFrame(r, "tap string, row int, val array<double>")
+    ref = frame(rows([0.0, 1.0], [0.0, 1.0]))
+    same = {r.tap: (r.rows, r.max_diff, r.differing_sets, r.ties) for r in evaluate.tap_differences(ref, frame(rows([1.0, 0.0], [0.0, 2.0]))).collect()}
+    assert same["l0.moe_topk"] == (2, 0.0, 0, 1) and same["embd"] == (1, 0.0, 0, 0)
+    other = frame([(t, r, [x + (t == "l1.attn_out") for x in v]) for t, r, v in rows([0.0, 2.0], [0.0, 1.0])])
+    assert tuple(evaluate.first_divergence(ref, other).first())[0] == "l0.moe_topk"
+    later = frame([(t, r, [x + (t == "l1.attn_out") for x in v]) for t, r, v in rows([1.0, 0.0], [0.0, 2.0])])
+    assert tuple(evaluate.first_divergence(ref, later).first()) == ("l1.attn_out", 104, 1.0)
+    assert evaluate.first_divergence(ref, ref).collect() == []
+
+
+def test_session_options():
+    from spanloom.plans.engine import session_options
+
+    assert session_options() == {} and session_options("cpu", 4)["spark.task.cpus"] == "4" and "spark.task.resource.gpu.amount" in session_options("cuda:1")
+    with pytest.raises(ValueError):
+        session_options("abacus")
+
+
+def test_letters():
+    text = synthetic.letters()
+    assert text == synthetic.letters() and len(text.split("\n\n")) == 90 and text.count("@post") == 90
+
+
 def test_bad_model_files_raise(tmp_path):
     bad = {"none": None, "short": b"GGUF\x03", "not": b"nothing at all, but long enough to look at"}
     for name, raw in bad.items():

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from spanloom.functions import labels as L
@@ -227,6 +228,34 @@ def test_sql_functions(spark):
     assert (list(r.p), r.t, r.q, r.x) == (["a", " ", "123", "4"], "[ACCOUNT]", "[REDACTED]", "to [EMAIL]")
 
 
+def test_sql_redaction_is_the_engines(spark):
+    """sl_redact replaces what Engine.redact does, on all documents."""
+    register_sql(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = Engine().redact(docs, labels=True).selectExpr("doc_id", "redacted", "sl_redact(text) AS other")
+    assert own.count() > 100 and own.filter("redacted <> other").count() == 0 and own.filter("redacted LIKE '%[EMAIL]%'").count() > 0
+
+
+def test_table_function(spark):
+    register_sql(spark)
+    got = spark.sql("SELECT * FROM sl_pretokens('a 1234')").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "a"), (1, 2, " "), (2, 5, "123"), (5, 6, "4")]
+    texts = spark.createDataFrame([(1, "xy é"), (2, None), (3, "")], "i int, t string")
+    texts.createOrReplaceTempView("sl_texts")
+    assert [tuple(r) for r in spark.sql("SELECT i, piece FROM sl_texts, LATERAL sl_pretokens(t) ORDER BY i, start").collect()] == [(1, "xy"), (1, " é")]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.37, 1.0])
+def test_exact_split(spark, share):
+    import hashlib
+
+    ids = [f"d{k}" for k in range(997)]
+    got = datasets.with_exact_split(spark.createDataFrame([(i,) for i in ids], "id string"), share, 5, "id")
+    want = sorted(ids, key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))[: int(997 * share)]
+    assert {r.id for r in got.filter("is_validation").collect()} == set(want) and got.count() == 997
+    assert datasets.with_exact_split(spark.createDataFrame([], "id string"), 0.5, 5, "id").collect() == []
+
+
 def test_options():
     assert cli_options(["0.7", "cuda:1", "--labels", "--replacement", "#"]) == {"threshold": 0.7, "device": "cuda:1", "labels": True, "replacement": "#"}
     assert device("vulkan:2") == ("vulkan", 2)
