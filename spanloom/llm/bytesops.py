@@ -4,6 +4,7 @@ whole batch, so that no Python object is made per word or per document."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,10 @@ def segments(raw: np.ndarray, limit: int, back: int) -> Iterator[tuple[int, int]
         look = 4096
         while end < n:
             a = max(0, end - look)
-            w = WORD_BYTE[raw[a:end]]
-            begins = np.flatnonzero(w & ~np.concatenate([[a > 0], w[:-1]]))
+            while a and raw[a] & 0xC0 == 0x80:
+                a -= 1
+            begins = word_spans(raw[a:end], np.array([0, end - a]))[0]
+            begins = begins[begins > 0] if a else begins  # the first may be the rest of a word
             if len(begins) >= back or a == 0:
                 start = a + int(begins[-back]) if len(begins) >= back else 0
                 break
@@ -107,28 +110,63 @@ def hash_slices(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return h
 
 
-#: ASCII letters, digits and the underscore, and every byte of a non-ASCII character.
+#: ASCII letters, digits and the underscore, and every byte of a non-ASCII character: no word ends within a run of these, but for characters that are words alone.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[128:] = True
 for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_":
     WORD_BYTE[_c] = True
 
+#: Scripts without spaces: each character is a word.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+WORD, ALONE = 1, 2
+
+
+@lru_cache(maxsize=1)
+def word_classes() -> np.ndarray:
+    """Of each code point: whether it is part of a word (a letter, mark, digit or underscore), or a word alone."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(len(every), np.uint8)
+    for m in regex.finditer(r"[\p{L}\p{M}\p{N}_]+", every):
+        out[m.start() : m.end()] = WORD
+    for m in regex.finditer("[" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + "]+", every):
+        part = out[m.start() : m.end()]
+        part[part == WORD] = ALONE
+    return np.concatenate([out[:0xD800], np.zeros(0x800, np.uint8), out[0xD800:]])
+
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, document) of each maximal run of word bytes; no run crosses documents."""
-    if len(raw) == 0:
+    """(start, length, document) of each word of UTF-8 texts: a run of letters, marks, digits and underscores, or one character of a script without spaces.
+
+    No word crosses documents.
+    """
+    n = len(raw)
+    if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, e
     w = WORD_BYTE[raw]
-    prev = np.empty_like(w)
-    prev[0], prev[1:] = False, w[:-1]
-    cut = offsets[:-1][offsets[:-1] < len(raw)]
-    prev[cut] = False
-    start = np.flatnonzero(w & ~prev)
-    nxt = np.empty_like(w)
-    nxt[-1], nxt[:-1] = False, w[1:]
-    nxt[cut[cut > 0] - 1] = False
-    end = np.flatnonzero(w & ~nxt) + 1
+    edge = np.zeros(n + 4, bool)  # a word may begin or end here though word bytes lie on both sides
+    edge[offsets] = True
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        buf = padded(raw)
+        b0 = raw[lead].astype(np.int64)
+        b1, b2, b3 = (buf[lead + k].astype(np.int64) & 0x3F for k in (1, 2, 3))
+        size = 2 + (b0 >= 0xE0) + (b0 >= 0xF0)
+        cp = np.where(size == 2, (b0 & 0x1F) << 6 | b1, np.where(size == 3, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        kind = word_classes()[np.minimum(cp, 0x10FFFF)]
+        none = kind == 0
+        for k in range(4):
+            at = lead[none & (size > k)] + k
+            w[at[at < n]] = False
+        alone = kind == ALONE
+        edge[lead[alone]] = True
+        edge[np.minimum(lead[alone] + size[alone], n)] = True
+    prev, following = np.zeros(n, bool), np.zeros(n, bool)
+    prev[1:], following[:-1] = w[:-1], w[1:]
+    start = np.flatnonzero(w & (~prev | edge[:n]))
+    end = np.flatnonzero(w & (~following | edge[1 : n + 1])) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     return start, end - start, doc
 

@@ -23,8 +23,9 @@ first routed to cells, and a tree is built in each.  The routing loses no pair:
 Documents of one n-gram set are one class and go through the join once, so
 that thousands of copies cost as much as one.  N-grams are shuffled in packed
 arrays, a few bytes each.  Frequent ones (found by bounded summaries of all
-tasks) don't gather anywhere: they are dealt out by class and name their own
-cells, and a large cell is compared as pairs of blocks.
+tasks) don't gather anywhere: they are dealt out by class, and only the least
+class of each is looked for and told to all.  A large cell is compared as
+pairs of blocks.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ SMALL = 64
 
 _SHIFT = np.uint64(64 - GROUPS.bit_length() + 1)
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+_SIGN = np.uint64(1 << 63)
 #: Codes of how many sets hold an n-gram: the number up to EXACT, then its logarithm; FREQUENT_CODE for the frequent.
 EXACT, FREQUENT_CODE = 200, 255
 
@@ -65,8 +67,9 @@ EXACT, FREQUENT_CODE = 200, 255
 def gram_sets(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of documents i..j: (i, j, hashes, document of each), hashes distinct and sorted in each document.
 
-    Words are runs of ASCII letters, digits, underscores and non-ASCII
-    characters of the text in lower case.  Fewer than n words are one n-gram.
+    Words are runs of letters, marks, digits and underscores of the text in
+    lower case, and single characters in scripts without spaces.  Fewer than n
+    words are one n-gram.
     """
     raw, offsets, _ = B.text_buffers(pc.utf8_lower(column))
     for i, j in B.doc_chunks(offsets):
@@ -457,18 +460,30 @@ def _survivors(bits, threshold):
     return run
 
 
-def _meetings(threshold, small):
-    """(cell, frequent, class): classes that may be partners, by the least of those that meet with them; under a frequent n-gram, by that."""
+def _least_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, least): of the frequent n-grams of a task's classes the least class, in an order of signed numbers."""
+    held = _Entries(8)
+    for batch in batches:
+        held.add(batch, lambda part: part < 0)
+    if held.rows:
+        uc, _, of, key, _ = held.all()
+        order = np.lexsort((of, key))
+        first = order[_starts(key[order])]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array((uc[of[first]] ^ _SIGN).view(np.int64))], ["gram", "least"])
+
+
+def _meetings(threshold, small, frequent):
+    """(cell, class): classes that may be partners, by the least of those that meet with them."""
     share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Entries(5)
+        held, known, least_of = _Entries(5), _Entries(8), frequent.value
         for batch in batches:
-            known = _Entries(8)
             known.add(batch, lambda part: part < 0)
-            for cs, _, counts, key, _ in known.rows:
-                yield _cells(key, np.repeat(cs, counts), True)
             held.add(batch, lambda part: part >= 0)
+        if known.rows:
+            uc, _, of, key, _ = known.all()
+            yield _cells(least_of[1][np.searchsorted(least_of[0], key)], uc[of])
         if not held.rows:
             return
         uc, size, of, key, more = held.all()
@@ -488,12 +503,11 @@ def _meetings(threshold, small):
                 keep[ix] = ok.any(axis=2)
         key, of = key[keep], of[keep]
         at = _starts(key)
-        least = np.repeat(of[at], np.diff(np.append(at, len(key))))
-        both = np.unique(least.astype(np.uint64) << np.uint64(32) | of.astype(np.uint64))
-        yield _cells(uc[(both >> np.uint64(32)).astype(np.int64)], uc[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)], False)
+        yield _cells(uc[np.repeat(of[at], np.diff(np.append(at, len(key))))], uc[of])
 
-    def _cells(cell, c, frequent):
-        return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(c), frequent)), pa.array(c.view(np.int64))], ["cell", "frequent", "c"])
+    def _cells(cell, c):
+        both = np.unique(np.stack([cell, c], axis=1), axis=0) if len(c) else np.zeros((0, 2), np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], ["cell", "c"])
 
     return run
 
@@ -507,8 +521,8 @@ def _join_cells(threshold, width, listed):
             c, n, copies = (cell.column(x).to_numpy() for x in ("c", "n", "copies"))
             block, grams = cell.column("block").to_numpy(), cell.column("grams").combine_chunks()
             sets = [_unpacked(grams[i].as_buffer(), width) for i in range(len(c))]
-            here = (cell.column("cell")[0].as_py(), cell.column("frequent")[0].as_py())
-            other = [{(x["cell"], x["frequent"]) for x in v} for v in cell.column("cells").to_pylist()]
+            here = cell.column("cell")[0].as_py()
+            other = [set(v) for v in cell.column("cells").to_pylist()]
             several = np.array([len(x) > 1 for x in other])
 
             def allowed(x, y, block=block, here=here, other=other, several=several):
@@ -557,21 +571,26 @@ class Join:
         live = spread.mapInArrow(_shared(self.bits), _PACKED).repartitionById(parts, "goes")
         self.left_all = left = materialise(live.mapInArrow(_survivors(self.bits, threshold), _LEFT), "left")
         self.left = left.filter("c IS NOT NULL").select("c", "n", "grams")
-        meet = left.filter("c IS NULL").select(*_NAMES).repartitionById(parts, "goes").mapInArrow(_meetings(threshold, small), "cell long, frequent boolean, c long")
+        packed = left.filter("c IS NULL").select(*_NAMES)
+        holders = packed.filter("part < 0").mapInArrow(_least_holders, "gram long, least long").groupBy("gram").agg(F.min("least").alias("least"))
+        self.holders = holders.toPandas() if len(common) else None  # MOST_FREQUENT rows at most
+        told = np.zeros((2, 0), np.uint64) if self.holders is None else np.stack([self.holders.gram.to_numpy(np.int64).view(np.uint64), self.holders.least.to_numpy(np.int64).view(np.uint64) ^ _SIGN])
+        told = spark.sparkContext.broadcast(told[:, np.argsort(told[0])])
+        meet = packed.repartitionById(parts, "goes").mapInArrow(_meetings(threshold, small, told), "cell long, c long")
         self.cells = materialise(meet.distinct(), "cells")
 
     def _joined(self, listed: bool, schema: str) -> DataFrame:
-        size = materialise(self.cells.groupBy("cell", "frequent").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        size = materialise(self.cells.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         large = size.filter(F.col("size") > self.block)
-        some = self.cells.join(size.select("cell", "frequent"), ["cell", "frequent"], "left_semi")
-        mine = some.groupBy("c").agg(F.collect_list(F.struct("cell", "frequent")).alias("cells"))
+        some = self.cells.join(size.select("cell"), "cell", "left_semi")
+        mine = some.groupBy("c").agg(F.collect_list("cell").alias("cells"))
         full = mine.join(self.left, "c").join(self.classes.select("c", "copies"), "c")
-        rows = full.select("*", F.explode("cells").alias("at")).select("c", "n", "copies", "grams", "cells", "at.cell", "at.frequent")
-        rows = rows.join(by_size(large, large.count()), ["cell", "frequent"], "left")
+        rows = full.select("c", "n", "copies", "grams", "cells", F.explode("cells").alias("cell"))
+        rows = rows.join(by_size(large, large.count()), "cell", "left")
         # a large cell's blocks are by hash, and each pair of them is a task
         rows = rows.withColumn("blocks", F.expr(f"coalesce(CAST(ceil(size / {self.block}) AS INT), 1)")).withColumn("block", F.expr("CAST(pmod(xxhash64(c), blocks) AS INT)"))
         rows = rows.withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
-        rows = rows.withColumn("task", F.expr("concat_ws(' ', cell, frequent, least(block, other), greatest(block, other))")).drop("size", "blocks", "other")
+        rows = rows.withColumn("task", F.expr("concat_ws(' ', cell, least(block, other), greatest(block, other))")).drop("size", "blocks", "other")
         width = 6 if REST_BITS + self.bits <= 48 else 8
         return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join_cells(self.threshold, width, listed), schema)
 
