@@ -85,8 +85,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     Turns of equal number (repeated rows too) go by role, then text, nulls
     first, and all stay.  A null role or text is written so that it comes back
-    as null; an empty text stays empty.  Rows of a null id are one
-    conversation of a null id.  Other columns aren't read.  An empty table
+    as null; an empty text stays empty.  A row of a null id belongs to
+    no other and is a conversation of its own.  Other columns aren't read.  An empty table
     gives an empty result.
     """
     kind = turns.schema[id_col].dataType.simpleString()
@@ -98,5 +98,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(escaped, pa.int64()), pa.array(text, pa.string())], [id_col, "n_turns", "n_escaped", "rendered"])
 
     one = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    whole = turns.select(F.col(id_col), one.alias("_t")).groupBy(id_col).agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+    laid = turns.select(F.col(id_col), one.alias("_t"))
+    whole = laid.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+    whole = whole.unionByName(laid.filter(F.col(id_col).isNull()).withColumn("_t", F.array("_t")))
     return whole.mapInArrow(run, f"`{id_col}` {kind}, n_turns long, n_escaped long, rendered string")

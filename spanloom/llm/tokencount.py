@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from spanloom.llm import bytesops as B
+from spanloom.llm.store import free_name
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -333,7 +334,7 @@ def with_tokens(docs: DataFrame, out_col: str = "n_tokens", text_col: str = "tex
     """``docs`` with its columns and each row's tokens as ``out_col``, counted as ``count_tokens`` does, in the row: no id is needed."""
     table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, text_col, ranks_path, table_size))
     base = docs.drop(out_col)
-    wanted = base.withColumn("_sl_text", F.col(text_col).cast("string"))
+    wanted = base.withColumn(free_name(base, "_sl_text"), F.col(text_col).cast("string"))
     schema = StructType([*base.schema.fields, StructField(out_col, LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,7 +235,7 @@ def test_threshold_of_least_cost(seed):
     y = (rng.random(30) < 0.3).astype(int)
     y[:2] = 0, 1
     scores = np.round(rng.normal(size=30) + y, int(rng.integers(0, 3)))
-    cost = lambda t: ((scores <= t) & (y > 0)).sum() / (y > 0).sum() + toxicity.FALSE_COST * ((scores > t) & (y == 0)).sum() / (y == 0).sum()
+    cost = lambda t: ((scores <= t) & (y > 0)).sum() / ((y > 0).sum() + toxicity.SMOOTH) + toxicity.FALSE_COST * ((scores > t) & (y == 0)).sum() / ((y == 0).sum() + toxicity.SMOOTH)
     t = toxicity.best_threshold(scores, y)
     assert cost(t) == pytest.approx(min(cost(v) for v in [scores.min() - 1, *scores])) and t not in scores
 
@@ -364,6 +364,8 @@ def test_chat_query(spark):
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "user", None, 9), (1, 0, "user", None, 9), (1, 1, None, "", 9), (None, None, "a", "<|x|>", 9), (2, 1, "b", "y" * 50_000, 9), (2, 1, "a", "z", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _t int")
+    alone = [r.n_turns for r in chatformat.format_chats(df.unionAll(df.filter("conv_id IS NULL"))).collect() if r.conv_id is None]
+    assert alone == [1, 1]
     got = {r.conv_id: r for r in chatformat.format_chats(df).collect()}
     assert chatformat.parse(got[1].rendered) == [("user", None), ("user", None), (None, "")] and got[None].n_escaped == 1
     assert [r for r, _ in chatformat.parse(got[2].rendered)] == ["a", "b"] and chatformat.format_chats(df.limit(0)).collect() == []
