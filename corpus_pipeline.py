@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import mixing, ngramjoin, packing, pii, tokencount, toxicity
-from spanloom.llm.store import bounded_batches, materialise
+from spanloom.llm.store import bounded_batches, free_name, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  It is trained on labelled documents of ``docs``.
 
-    Rows of a null text stay, an empty text is scored as having no evidence, a
-    score equal to its threshold isn't toxic, repeated rows are judged each.
+    Rows of a null or an empty text stay, a score equal to its threshold isn't
+    toxic, repeated rows are judged each.
     Without labels of both kinds nothing goes.  All columns stay, whatever
     their names.  An empty table stays empty.
     """
@@ -56,8 +56,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go by the row's hash.  All columns stay.  An empty table stays empty.
     """
     bounded_batches(spark)
-    counted = tokencount.with_tokens(docs, _TOKENS)
-    return mixing.mix_sources(counted, tokens_col=_TOKENS).select(*(f"`{c}`" for c in docs.columns))
+    tokens = free_name(docs, "n_tokens")
+    counted = materialise(tokencount.with_tokens(docs, tokens), "counted")  # written, as it is read three times
+    return mixing.mix_sources(counted, tokens_col=tokens, position_col=free_name(counted, "position"), epoch_col=free_name(counted, "epoch")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +72,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-#: A column that lives only within mixing.
-_TOKENS = "_sl_n_tokens"
-
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("private", redact_private), ("mixing", mix), ("packing", pack)]
 
 #: A trained network and best-fit packing can't be written in SQL.
