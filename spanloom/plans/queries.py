@@ -484,6 +484,27 @@ SELECT doc_id, s AS "start", least(4096, n - s) AS wlen, CASE WHEN s = 0 THEN 0
 _FRESH, _B, _I = "(c = 1 OR (c - 2) % 4 IN (0, 3))", "s[2 + (c - 2) // 4 * 4]", "s[3 + (c - 2) // 4 * 4]"
 _CLOSED = "list_filter(range(1, 65), lambda c: c = 1 OR (c - 2) % 4 IN (2, 3))"
 _BEST = f"{_CLOSED}[list_position(list_transform({_CLOSED}, lambda c: s[c]), list_max(list_transform({_CLOSED}, lambda c: s[c])))]"
+#: Byte-pair encoding of each distinct pre-token by a recursion: of all neighbours that may merge the pair of the least rank, the leftmost, merges.
+_ALPHABET = _quoted("".join(sorted(bpe.byte_alphabet(), key=bpe.byte_alphabet().get)))
+_BYTE = "('0x' || substring(h, 2 * i + 1, 2))::INT"
+_BPE_SQL = f"""
+WITH RECURSIVE v AS (SELECT part, id::BIGINT AS id FROM (SELECT unnest(json_keys(content, '$.model.vocab')) AS part, unnest(json_extract(content, '$.model.vocab.*')) AS id FROM read_text('{VOCABULARY}'))),
+m AS (SELECT unnest(json_extract_string(content, '$.model.merges[*][0]')) AS a, unnest(json_extract_string(content, '$.model.merges[*][1]')) AS b,
+        unnest(range(json_array_length(content, '$.model.merges')::BIGINT)) AS rank FROM read_text('{VOCABULARY}')),
+o AS (SELECT conv_id, turn, piece, CAST(sum(strlen(piece)) OVER (PARTITION BY conv_id, turn ORDER BY k) AS BIGINT) - strlen(piece) AS at0
+  FROM (SELECT conv_id, turn, unnest(p) AS piece, unnest(range(len(p))) AS k FROM (SELECT conv_id, turn, {_PIECES} AS p FROM conversations))),
+d AS (SELECT piece, h, list_transform(range(0, strlen(piece)), lambda i: substring({_ALPHABET}, {_BYTE} + 1, 1)) AS c FROM (SELECT piece, hex(encode(piece)) AS h FROM (SELECT DISTINCT piece FROM o))),
+r AS (
+  SELECT piece, CASE WHEN v.part IS NULL THEN c ELSE [v.part] END AS parts, 0 AS step FROM d LEFT JOIN v ON v.part = array_to_string(c, '')
+  UNION ALL
+  SELECT piece, parts[:i - 1] || [parts[i] || parts[i + 1]] || parts[i + 2:], step + 1
+  FROM (SELECT piece, any_value(parts) AS parts, any_value(step) AS step, arg_min(i, rank * 1000000 + i) AS i
+        FROM (SELECT piece, parts, step, unnest(range(1, len(parts))) AS i FROM r WHERE len(parts) > 1) q JOIN m ON m.a = q.parts[q.i] AND m.b = q.parts[q.i + 1] GROUP BY piece)),
+l AS (SELECT piece, arg_max(parts, step) AS parts FROM r GROUP BY piece),
+e AS (SELECT piece, part, CAST(sum(length(part)) OVER (PARTITION BY piece ORDER BY k) AS BIGINT) AS b, length(part) AS n FROM (SELECT piece, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM l)),
+w AS (SELECT piece, list_filter(range(0, strlen(piece) + 1), lambda i: i = 0 OR i = strlen(piece) OR substring(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B')) AS whole FROM d),
+t AS (SELECT e.piece, coalesce(v.id, 0) AS id, list_max(list_filter(whole, lambda x: x <= b - n)) AS s, list_min(list_filter(whole, lambda x: x >= b)) AS x FROM e JOIN w ON w.piece = e.piece LEFT JOIN v ON v.part = e.part)
+SELECT conv_id, turn, id, at0 + s AS "start", at0 + x AS "end" FROM o JOIN t ON t.piece = o.piece"""
 _ENTITIES_SQL = f'SELECT doc_id, s AS "start", e AS "end", label FROM ({_rules_sql("documents", "doc_id")})'
 
 ORACLE_SQL: dict[str, str] = {
@@ -554,6 +575,7 @@ l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER
         "start" + CASE WHEN length(rest) <= 40 THEN length(rest) WHEN instr(reverse(substring(rest, 1, 41)), ' ') BETWEEN 1 AND 40 THEN 41 - instr(reverse(substring(rest, 1, 41)), ' ') ELSE 40 END AS "end" FROM w),
 m AS ({_rules_sql(_TURNS, "conv_id, turn", "length")})
 SELECT l.conv_id, l.turn, l.line, l."start", l."end", count(m.s) AS entities FROM l LEFT JOIN m ON l.conv_id = m.conv_id AND l.turn = m.turn AND m.s < l."end" AND l."start" < m.e GROUP BY ALL""",
+    "tokenize_bpe": _BPE_SQL,
     "validation_split": """SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= CAST(floor(count(*) OVER () * 0.1) AS BIGINT) AS is_validation FROM documents""",
     "entities_json": f"""
 WITH e AS ({" UNION ALL ".join(f"SELECT {k} AS rule, * FROM ({_match_sql('documents', 'doc_id', label, pattern, 'strlen')})" for k, (label, pattern) in enumerate(RULES))}),
@@ -593,5 +615,5 @@ UNION ALL SELECT d, first, last + 1, cat FROM l WHERE t = last AND cat IS NOT NU
     "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "repeated_text_ids": "SELECT sha256(text) AS text_hash, count(*) OVER (PARTITION BY text) AS n, doc_id FROM documents WHERE text IS NOT NULL QUALIFY n > 1",
 }
-for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode", "wrapped_lines"):
+for _name in ("trim_spans", "merge_near_spans", "pretoken_spans", "bioes_encode", "wrapped_lines", "tokenize_bpe"):
     ORACLE_SQL[f"{_name}_documents"] = f"WITH conversations AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM documents) SELECT conv_id AS doc_id, * EXCLUDE (conv_id, turn) FROM ({ORACLE_SQL[_name]})"
