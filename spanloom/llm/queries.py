@@ -86,6 +86,27 @@ def op10_mixing_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_language_id, op4_pii, op5_telephony_audio, op6_embedding_near_pairs, op6_embedding_near_wide, op7_chat_format, op8_toxicity, op9_packing, op10_mixing, op10_mixing_by_tokens)}
 
+_SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: RE2 has no look-ahead: a mark that no text holds parts a run of blanks before its last one, and is taken out again.
+_MARK = "\U0010fffd"
+_PIECES = rf"""list_filter(regexp_extract_all(regexp_replace(text, '([{_SPACE}])([{_SPACE}][^{_SPACE}])', '\1{_MARK}\2', 'g'),
+  '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}{_MARK}]+|[{_SPACE}]+|{_MARK}'), lambda p: p <> '{_MARK}')"""
+#: Each distinct pre-token, as the hexadecimal digits of its bytes, is merged by a recursion: of all neighbours the pair of the least rank, the leftmost.
+_TOKENS = f"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(string_split(x, ' ')[1])) AS part, string_split(x, ' ')[2]::BIGINT AS rank
+  FROM (SELECT unnest(string_split(content, chr(10))) AS x FROM read_text('{tokencount.DEFAULT_RANKS}')) WHERE x <> ''),
+o AS (SELECT doc_id, hex(encode(p)) AS piece FROM (SELECT doc_id, unnest({_PIECES}) AS p FROM documents)),
+r AS (
+  SELECT piece, CASE WHEN v.part IS NULL THEN list_transform(range(0, length(piece) // 2), lambda i: substring(piece, 2 * i + 1, 2)) ELSE [piece] END AS parts, 0 AS step
+  FROM (SELECT DISTINCT piece FROM o) LEFT JOIN v ON v.part = piece
+  UNION ALL
+  SELECT piece, parts[:i - 1] || [parts[i] || parts[i + 1]] || parts[i + 2:], step + 1
+  FROM (SELECT piece, any_value(parts) AS parts, any_value(step) AS step, arg_min(i, rank * 1000000 + i) AS i
+        FROM (SELECT piece, parts, step, unnest(range(1, len(parts))) AS i FROM r WHERE len(parts) > 1) q JOIN v ON v.part = q.parts[q.i] || q.parts[q.i + 1] GROUP BY piece)),
+n AS (SELECT piece, min(len(parts)) AS n FROM r GROUP BY piece),
+c AS (SELECT doc_id, sum(n)::BIGINT AS n FROM o JOIN n ON o.piece = n.piece GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(n, 0) END AS n_tokens FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id"""
+
 _NEAR = """
 WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {}),
@@ -97,6 +118,7 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_token_counts": _TOKENS,
     "op2_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -136,3 +158,5 @@ SELECT doc_id, text, lang, source, n_chars,
 FROM x
 """,
 }
+_ESTIMATE = "coalesce(CAST(ceil(strlen(text) / 4.0) AS BIGINT), 0)"
+ORACLE_SQL["op10_mixing_by_tokens"] = f"WITH counted AS (SELECT documents.*, k.n_tokens FROM documents JOIN ({_TOKENS}) k ON k.doc_id = documents.doc_id),\n" + ORACLE_SQL["op10_mixing"].strip().removeprefix("WITH ").replace(_ESTIMATE, "coalesce(n_tokens, 0)").replace("FROM documents", "FROM counted").replace("SELECT doc_id, text, lang, source, n_chars,", "SELECT doc_id, text, lang, source, n_chars, n_tokens,")

@@ -50,6 +50,11 @@ def test_token_counts(spark, documents, size):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab'sdtmrevl 12.\n\t 　éß日 \r-")), max_size=30), max_size=4))
+@pytest.mark.parametrize("name", ["op1_token_counts", "op10_mixing_by_tokens"])
+def test_counts_are_those_of_sql(spark, name):
+    assert_same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
 def test_pretokens_are_the_patterns(texts):
     import regex
 
