@@ -382,7 +382,12 @@ def redact_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def redact_column(docs: DataFrame, model: Model, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with its text redacted and all its columns; ``length_col``, where there is one, follows the text."""
+    """``docs`` with its text redacted and all its columns; ``length_col``, where there is one, follows the text.
+
+    A null text stays null, and its length is then null; an empty one stays
+    empty.  Repeated rows are treated each, alike.  Overlapping spans become
+    one.  An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
