@@ -121,12 +121,17 @@ UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 WORD, ALONE = 1, 2
 
 
+def every_character() -> str:
+    """All code points but the surrogates, without an object for each."""
+    return np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
+
+
 @lru_cache(maxsize=1)
 def word_classes() -> np.ndarray:
     """Of each code point: whether it is part of a word (a letter, mark, digit or underscore), or a word alone."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = every_character()
     out = np.zeros(len(every), np.uint8)
     for m in regex.finditer(r"[\p{L}\p{M}\p{N}_]+", every):
         out[m.start() : m.end()] = WORD

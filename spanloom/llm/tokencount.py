@@ -55,7 +55,7 @@ def char_classes() -> np.ndarray:
     """Class of each code point as the encoder's own regular expressions see it."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = B.every_character()
     table = np.full(0x110000, OTHER, np.uint8)
     for what, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
