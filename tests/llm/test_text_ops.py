@@ -1,6 +1,7 @@
 """Token counts, language, private data, toxicity, chat formatting."""
 
 import base64
+import copy
 import dataclasses
 import re
 
@@ -270,6 +271,78 @@ def test_thresholds_by_language():
     assert m.limit(None) == m.limit("zz") == m.threshold
 
 
+def test_every_labelled_document_is_learned_from(spark):
+    """Insults of which each is in few of very many documents: a sample holds too few of each."""
+    word = lambda kind, n: F.substring(F.md5(F.concat(F.lit(kind), (F.col("half") % n).cast("string"))), 1, 8)
+    rows = spark.range(14_000).withColumns({"toxic": (F.col("id") % 2).cast("int"), "half": F.floor(F.col("id") / 2)})
+    text = F.concat_ws(" ", word("a", 40), word("b", 50), F.when(F.col("toxic") == 1, word("vile", 700)).otherwise(word("mild", 700)))
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), "toxic").cache()
+    model = toxicity.fit_on(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(docs, model).join(docs, "doc_id").groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int"))).collect()
+    assert dict(map(tuple, got))[1] > 0.9 and dict(map(tuple, got))[0] < 0.05
+
+
+def test_training_by_units_is_the_mean_of_what_they_change(spark, monkeypatch):
+    """Counts are of all units, a round's change of a row is the mean over those that change it, thresholds are of all that are held out."""
+    for name, x in (("DRIVER_DOCS", 0), ("UNIT_DOCS", 250), ("LEAST_STEPS", 0)):
+        monkeypatch.setattr(toxicity, name, x)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, int(rng.integers(0, 30)))) + (f" vile{i % 7}" if i % 3 == 0 else ""), ["de", "en", None][i % 5 % 3], int(i % 3 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    again = spark.createDataFrame([(r[0], "~ another text", None) for r in rows[:50]], "doc_id long, text string, lang string")  # "~" sorts behind all other texts
+    docs = df.select("doc_id", "text", "lang").union(again).repartition(5)
+    got = toxicity.fit_on(docs, df.select("doc_id", "toxic").union(df.select("doc_id", "toxic")), epochs=2)
+    units = {}
+    for r in df.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(4))).orderBy("doc_id").collect():
+        units.setdefault(r.unit, []).append(r)
+    cut = {k: toxicity.held_out(np.array([r.toxic for r in rs])) for k, rs in units.items()}
+    split = lambda side: {k: [r for r, h in zip(rs, cut[k]) if h == side] for k, rs in units.items()}
+    trained, held = split(False), [r for rs in split(True).values() for r in rs]
+    words = {k: toxicity.hashed(pa.array([r.text for r in rs])) for k, rs in trained.items()}
+    labels = {k: np.array([r.toxic for r in rs]) for k, rs in trained.items()}
+    n = sum(map(len, labels.values()))
+    known = sum(toxicity.documents_with(*w) for w in words.values()) >= toxicity.least_docs(n)
+    state = toxicity.State.new(np.random.default_rng(toxicity.SEED))
+    for turn in range(2):
+        changes = []
+        for k in units:
+            own = copy.deepcopy(state)
+            own.epoch(np.random.default_rng([toxicity.SEED, turn, k]), *words[k], labels[k], toxicity.class_weights(labels[k], sum(x.sum() for x in labels.values()) / n), known)
+            changes.append(own.packed().astype(float) - state.packed())
+        changed = np.sum([c.any(axis=1) for c in changes], axis=0)
+        changed[known.size :] = len(units)
+        state.add(np.sum(changes, axis=0) / np.maximum(changed, 1)[:, None])
+    assert len(units) == 4 and 0 < known.sum() < known.size
+    assert np.allclose(got.tables, state.model.tables, atol=1e-4) and np.allclose(got.out, state.model.out, atol=1e-4) and got.out_bias == pytest.approx(state.model.out_bias, abs=1e-4)
+    raw, offsets, _ = B.text_buffers(pa.array([r.text for r in held]))
+    scores, y = got.score(raw, offsets), np.array([r.toxic for r in held])
+    assert got.threshold == pytest.approx(toxicity.best_threshold(scores, y), abs=1e-4) and set(got.thresholds) == {"de", "en"}
+    for k, t in got.thresholds.items():
+        own = np.array([r.lang == k for r in held])
+        assert t == pytest.approx(toxicity.best_threshold(scores[own], y[own]), abs=1e-4)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 4])
+def test_thresholds_of_many_scores_are_those_of_few(spark, digits):
+    rng = np.random.default_rng(digits)
+    y = (rng.random(400) < 0.3).astype(int)
+    scores = np.round(rng.normal(size=400) * 3 + y * 2, digits).astype(np.float32)
+    langs = [["de", "en", "fr", "", None][int(k)] for k in rng.integers(0, 5, 400)]
+    df = spark.createDataFrame([(a, float(b), int(c)) for a, b, c in zip(langs, scores, y)], "lang string, score float, y int")
+    want = {k: np.array([k in ("", x) for x in langs]) for k in ("", "de", "en", "fr")}
+    assert toxicity.thresholds(df) == {k: (toxicity.best_threshold(scores[o].astype(float), y[o]), int(y[o].sum()), int((1 - y[o]).sum())) for k, o in want.items()}
+    assert toxicity.thresholds(df.limit(0)) == {}
+
+
+def test_hashed_words_score_as_their_text(monkeypatch):
+    texts = ["", "some words and a vile one", "long " * 3000 + "vile end", "x"] * 3
+    model = toxicity.train(["a vile text", "a good text"] * 20, np.array([1, 0] * 20), epochs=1)
+    raw, offsets, _ = B.text_buffers(pa.array(texts))
+    for chunk in (toxicity.CHUNK, 800):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(model.score_hashed(*toxicity.hashed(pa.array(texts))), model.score(raw, offsets), atol=1e-5)
+
+
 def test_one_step_of_training_is_the_gradient(monkeypatch):
     """The change of the output's bias after one step is the mean error's, and the loss's slope found by differences."""
     monkeypatch.setattr(toxicity, "DROPPED", 0.0)
