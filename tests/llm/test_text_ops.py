@@ -16,7 +16,7 @@ from oracle import SF, assert_same
 from pyspark.sql import functions as F
 
 from spanloom.llm import bytesops as B
-from spanloom.llm import chatformat, langid, pii, queries, tokencount, toxicity
+from spanloom.llm import chatformat, langid, pii, queries, store, tokencount, toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
 ODD = [None, "", " ", "\n\n  x", "don't they'll WE'VE ''s", "naïve größe 日本語 текст", "a 　 b c", "x" * 40_000, "12 3456 " * 9000, "!?! -- (a)", "é \U0001f600\U0001f600", "tab\t\ttab \r\n\r\n end   "]
@@ -322,6 +322,49 @@ def test_training_by_units_is_the_mean_of_what_they_change(spark, monkeypatch):
         assert t == pytest.approx(toxicity.best_threshold(scores[own], y[own]), abs=1e-4)
 
 
+def test_training_by_units_takes_one_worker_for_each_task(spark, monkeypatch):
+    """No stage has two Python functions one after the other, nor Python rows: each would be one more worker, and workers stay."""
+    for name, x in (("DRIVER_DOCS", 0), ("LEAST_STEPS", 0)):
+        monkeypatch.setattr(toxicity, name, x)
+    plans = []
+    kept = toxicity.materialise
+    monkeypatch.setattr(toxicity, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    made = type(spark).createDataFrame
+    rows = [(i, f"word {'vile' if i % 3 == 0 else 'fine'} w{i}", "de", int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    given = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *more, **named: given.append(type(data)) or made(self, data, *more, **named))
+    toxicity.fit_on(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), epochs=1)
+    assert len(plans) == 2 and given and set(given) == {pa.Table}
+    for plan in plans:
+        assert "MapInArrow" in plan
+        for stage in plan.split("Exchange"):
+            assert all(part.count("MapInArrow") <= 1 for part in stage.split("Union"))
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytearray(3000) for _ in range(40_000)]
+            pins.append(bytearray(3000))  # the heap's last block stays, so that its end can't be cut off
+            del blocks
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    list(run([batch]))
+    before = held()
+    assert list(store.trimmed(run)([batch])) == [batch]
+    assert before - held() > 60 << 20
+    with pytest.raises(ZeroDivisionError):
+        list(store.trimmed(lambda batches: (1 // 0 for _ in batches))([batch]))
+
+
 @pytest.mark.parametrize("digits", [0, 1, 4])
 def test_thresholds_of_many_scores_are_those_of_few(spark, digits):
     rng = np.random.default_rng(digits)
