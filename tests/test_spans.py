@@ -264,3 +264,38 @@ def test_options():
             cli_options(bad)
     with pytest.raises(ValueError):
         device("tpu")
+
+
+def test_classes_of_tokens_in_order_are_those_of_a_search():
+    import random
+
+    ids = {x: i for i, x in enumerate(["O", *(f"{t}-{c}" for c in "XY" for t in "BIES"), "S-Z"])}
+    r = random.Random(5)
+    for _ in range(200):
+        ends = np.sort(np.array([r.randrange(30) for _ in range(r.randrange(12))], np.int64))
+        starts = np.maximum(ends - r.randrange(3), 0)
+        spans = [(s := r.randrange(30), s + r.randrange(6), r.choice("XYZ")) for _ in range(r.randrange(6))]
+        got = datasets.classes_of(starts, ends, spans, ids)
+        want = np.where(starts == ends, datasets.IGNORED, 0)
+        for s, e, c in spans:
+            hit = np.flatnonzero((starts != ends) & (starts < e) & (s < ends))
+            for k, at in enumerate(hit):
+                tag = "S" if len(hit) == 1 else "B" if k == 0 else "E" if k == len(hit) - 1 else "I"
+                want[at] = ids.get(f"{tag}-{c}", want[at])
+        assert got.tolist() == want.tolist()
+        assert datasets.classes_of(starts[::-1], ends[::-1], spans, ids).shape == got.shape
+
+
+def test_classes_of_a_long_text_take_no_square():
+    import time
+
+    at = np.arange(400_000)
+    began = time.process_time()
+    got = datasets.classes_of(at * 2, at * 2 + 1, [(k * 2, k * 2 + 1, "X") for k in range(0, 400_000, 4)], {"O": 0, "S-X": 1})
+    assert got.sum() == 100_000 and time.process_time() - began < 10
+
+
+def test_class_rows_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, "Ann lee 日本 42"), (None, "Ann lee 日本 42"), (2, None), (3, ""), (4, "日本")], "doc_id long, text string")
+    got = datasets.class_rows(rows, ("doc_id",), r"[A-Za-z0-9]+", [("X", r"[A-Z][a-z]+(?: [a-z]+)?"), ("Y", r"[0-9]+")], ["O", "B-X", "I-X", "E-X", "S-X", "S-Y"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((k, i, c)) for k in (1, None) for i, c in enumerate((1, 3, 5)))
