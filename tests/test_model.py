@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import evaluate, forward
 from spanloom.operators.bpe import byte_alphabet
@@ -355,3 +356,39 @@ def test_sinks(spark, tmp_path):
 def test_quantisation():
     x = np.random.default_rng(0).normal(size=640).astype(np.float32)
     assert np.abs(forward.dequantise_q8(*forward.quantise_q8(x)) - x).max() < 0.02
+
+
+def test_entities_of_the_worker_are_those_of_columns(spark):
+    import random
+
+    from spanloom.operators import post
+
+    r = random.Random(4)
+    letters = "ab =\t　,、é日（x"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 25))) for _ in range(60)]
+    rows, spans = [], []
+    for i, t in enumerate(texts):
+        edges = [len(t[:k].encode()) for k in range(len(t) + 1)]
+        own = [(r.choice([-1, *edges]), r.choice([*edges, edges[-1] + 1]), 1.0, r.choice(["private_person", "secret"])) for _ in range(5)]
+        rows.append((i, t, own))
+        spans += [(i, *x) for x in own]
+    df = spark.createDataFrame(rows, "i int, text string, s array<struct<start:int,end:int,score:float,label:string>>")
+    want = [(x.i, x.e.start, x.e.end, x.e.label) for x in df.select("i", F.explode(post.clean("text", "s")).alias("e")).collect()]
+    row, start, end = (np.array([x[k] for x in spans]) for k in range(3))
+    which, a, b = post.clean_bytes([t.encode() for t in texts], row, start, end, np.array([x[4] == "private_person" for x in spans]))
+    assert sorted(want) == sorted(zip(row[which].tolist(), a.tolist(), b.tolist(), [spans[k][4] for k in which.tolist()]))
+
+
+def test_a_long_text_is_classified_in_linear_time(spark):
+    """Each span copied the whole text before: some 25,000 spans, 0.2 MB each."""
+    import time
+
+    from spanloom.plans.queries import _tiny
+
+    docs = spark.createDataFrame([(1, "anb lew sttible = " * 12_000), (2, None), (None, "ab"), (None, "ab")], "doc_id long, text string")
+    began = time.time()
+    got = _tiny().entity_rows(docs).collect()
+    assert len(got) > 10_000 and time.time() - began < 40
+    arrays = _tiny().classify(docs)
+    assert arrays.filter("doc_id = 2").first().entities is None
+    assert sorted(map(str, map(tuple, got))) == sorted(str((x.doc_id, x.e.start, x.e.end, x.e.label, x.e.score)) for x in arrays.select("doc_id", F.explode("entities").alias("e")).collect())
