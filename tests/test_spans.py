@@ -299,3 +299,36 @@ def test_class_rows_of_odd_texts(spark):
     rows = spark.createDataFrame([(1, "Ann lee 日本 42"), (None, "Ann lee 日本 42"), (2, None), (3, ""), (4, "日本")], "doc_id long, text string")
     got = datasets.class_rows(rows, ("doc_id",), r"[A-Za-z0-9]+", [("X", r"[A-Z][a-z]+(?: [a-z]+)?"), ("Y", r"[0-9]+")], ["O", "B-X", "I-X", "E-X", "S-X", "S-Y"])
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((k, i, c)) for k in (1, None) for i, c in enumerate((1, 3, 5)))
+
+
+def test_merged_spans_are_those_of_a_search(spark):
+    import random
+
+    r = random.Random(6)
+    text = "ab \t\u3000c\u2028 \n  de é    f"
+    rows = []
+    for _ in range(80):
+        rows.append((text, [(s := r.randrange(len(text)), s + r.randrange(4), 1.0 * k, r.choice(["x", "y", None])) for k in range(r.randrange(7))]))
+    df = spark.createDataFrame([*rows, (None, None), (None, [(0, 1, 1.0, "x"), (2, 3, 2.0, "x"), (1, 2, 3.0, "x")])], f"text string, s {SPANS}")
+    got = [None if x.m is None else [tuple(y) for y in x.m] for x in df.select(post.merge_near("text", "s").alias("m")).collect()]
+    want = []
+    for t, own in rows:
+        out = []
+        for s, e, score, label in sorted(own, key=lambda x: x[0]):
+            if out and label is not None and out[-1][3] == label and s - out[-1][1] <= 4 and (s <= out[-1][1] or not t[out[-1][1] : s].strip()):
+                out[-1] = (out[-1][0], max(e, out[-1][1]), score, label)
+            else:
+                out.append((s, e, score, label))
+        want.append(out)
+    assert got[: len(rows)] == want and got[len(rows) :] == [None, [(0, 3, 2.0, "x")]]  # spans that touch need no text between
+
+
+def test_merging_takes_no_square(spark):
+    import time
+
+    text = "abcde fghij, " * 40_000
+    began = time.process_time()
+    assert len(post.merged(text, [(13 * k + d, 13 * k + d + 5, "x") for k in range(40_000) for d in (0, 6)])) == 40_000 and time.process_time() - began < 10
+    rows = spark.createDataFrame([(1, text), (2, None), (None, "abcde  fghij x"), (None, "abcde  fghij x")], "doc_id long, text string")
+    began = time.time()
+    assert post.merged_rows(rows, ("doc_id",), "[A-Za-z]{5,}", "x").count() == 40_002 and time.time() - began < 30
