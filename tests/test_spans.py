@@ -332,3 +332,28 @@ def test_merging_takes_no_square(spark):
     rows = spark.createDataFrame([(1, text), (2, None), (None, "abcde  fghij x"), (None, "abcde  fghij x")], "doc_id long, text string")
     began = time.time()
     assert post.merged_rows(rows, ("doc_id",), "[A-Za-z]{5,}", "x").count() == 40_002 and time.time() - began < 30
+
+
+def test_line_rows_are_those_of_columns(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = "".join(r.choice("ab é日 \n") for _ in range(r.randrange(40)))
+        rows.append((k % 7 or None, text, [(s := r.randrange(len(text) + 1), s + 1 + r.randrange(5), 1.0, "x") for _ in range(r.randrange(5))]))
+    df = spark.createDataFrame([*rows, (9, None, None), (9, "", []), (9, "a b", None)], f"n int, text string, s {SPANS}").repartition(2)
+    got = present.line_rows(df, ("n",), "s", 6)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    lines = df.select("n", F.posexplode(present.on_lines(present.wrapped("text", 6), F.coalesce("s", F.array().cast(SPANS)))).alias("line", "l"))
+    want = lines.selectExpr("n", "line", "l.start", "l.end", "size(l.spans)")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_parts_of_texts_are_bounded():
+    from spanloom.functions.arrays import parts_of
+
+    sizes = np.array([0, 5, 5, 11, 30, 0, 1, 0])
+    got = list(parts_of(sizes, 10))
+    assert [k for a, b in got for k in range(a, b)] == list(range(8)) and all(b - a == 1 or sizes[a:b].sum() <= 10 for a, b in got)
+    assert list(parts_of(sizes[:0], 10)) == []
